@@ -82,7 +82,7 @@ def train(docs: list[np.ndarray], toxic: np.ndarray, unlabelled: np.ndarray, kno
     p, u = (in_pos + 0.5) / (len(pos) + 1), (in_unl + 0.5) / (len(unl) + 1)
     z = np.where(in_pos >= 3, np.abs(p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / len(pos) + 1e-9), 0)
     buckets = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    buckets = buckets[z[buckets] > 5.0].astype(np.int32)
+    buckets = buckets[z[buckets] > 8.0].astype(np.int32)
     n = len(buckets)
     x = np.zeros((len(docs), n), np.float32)
     for k, ids in enumerate(docs):
