@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, toxicity
+import public_tokenizers
+
+from . import decontaminate, langid, quality, simhash, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +39,39 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in 10-word windows of benchmark items."""
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts, rules and the CRF's verdict for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match token counts of every document, over the byte-level vocabulary."""
+    vocabulary = wordpiece.byte_level_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash, op6_decontamination, op9_quality_rules, op10_token_counts)}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS win
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS win
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+        m AS (SELECT r, k, n, item FROM dw JOIN iw USING (n, win)),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT r, k, n FROM m)) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+}

@@ -81,7 +81,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with at most ``most`` bytes of ``text``, or one longer row."""
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0).to_pylist()
