@@ -49,7 +49,7 @@ def _spaced(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = np.zeros(len(words.data) + 1, np.int8)
     keep[words.start] += 1
     keep[words.end] -= 1
-    out[inside] = words.data[np.cumsum(keep[:-1], dtype=np.int8) > 0]
+    out[np.flatnonzero(inside)] = np.compress(np.cumsum(keep[:-1], dtype=np.int8) > 0, words.data)
     return out, start, end
 
 
