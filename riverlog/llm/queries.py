@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, langid, packing, quality, simhash, tokenfiles, toxicity, wordpiece
+from . import brown, decontaminate, langid, packing, quality, simhash, tokenfiles, toxicity, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class-model scores of every document; those with fold(10) = 0 or a null id aren't learned from."""
+    docs = table(spark, sf_dir, "documents")
+    out = brown.score(docs, fold(10) != 0)
+    return out.select("doc_id", F.coalesce(fold(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts, rules and the CRF's verdict for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash, op4_packing, op5_token_files, op6_decontamination, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash, op4_packing, op5_token_files, op6_decontamination, op8_lm_scoring, op9_quality_rules, op10_token_counts)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
