@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import brown, decontaminate, langid, packing, quality, simhash, tokenfiles, toxicity, wordpiece
+from . import brown, decontaminate, langid, packing, quality, simhash, tokenfiles, toxicity, urlfilter, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+#: The production rules for URLs.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and class-model scores of every document; those with fold(10) = 0 or a null id aren't learned from."""
     docs = table(spark, sf_dir, "documents")
@@ -75,7 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash, op4_packing, op5_token_files, op6_decontamination, op8_lm_scoring, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_simhash, op4_packing, op5_token_files, op6_decontamination, op7_url_filters, op8_lm_scoring, op9_quality_rules, op10_token_counts)}
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
