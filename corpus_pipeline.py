@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from riverlog.llm import decontaminate, packing, quality, simhash, toxicity
 from riverlog.llm.queries import fold, table
-from riverlog.llm.store import written
+from riverlog.llm.store import narrowed, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,14 +32,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    return simhash.one_of_each(narrowed(docs, *COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a 10-word window of a benchmark item. Ids that the stage before made unique are what rows are known by."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     dirty = written(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    docs = narrowed(docs, *COLUMNS)
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

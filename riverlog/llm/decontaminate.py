@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import column, pieces, tune, written
+from .store import column, narrowed, pieces, tune, written
 from .textbytes import ALNUM, Block, U, covered, run_sums
 
 #: Bytes of text in a block of the index; bytes of benchmark text that are matched in one pass.
@@ -33,7 +33,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     (differences of positions in the block). Null and empty texts are documents without words.
     """
     tune(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *(T.StructField(c, T.BinaryType()) for c in ("n_words", "terms", "ends", "gaps"))])
 
     def run(batches):
@@ -185,7 +185,7 @@ class Queries:
 
 def _batches(benchmark: DataFrame, item_col: str, text_col: str):
     """Lists of (id, text) with about ``BATCH`` bytes each, by a hash of the id; items without id or text are left out."""
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    items = narrowed(benchmark, item_col, text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BATCH) or 1
     for k in range(n):

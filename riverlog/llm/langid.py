@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, pieces, tune
+from .store import column, narrowed, pieces, tune
 from .textbytes import ALPHA, LOWER, Block, U
 
 BUCKETS = 1 << 14
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, learn_if, id_col: str = "doc_id", text_col: str = "te
     where there are fewer; what goes to the driver are the subword counts of those rows, at most ``BUCKETS`` each.
     """
     tune(docs.sparkSession)
-    labelled = docs.where(learn_if & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    labelled = narrowed(docs, id_col, text_col, lang_col).where(learn_if & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [])
@@ -158,7 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
     ``docs`` don't matter. With no language learned every text is ``und``.
     """
     tune(docs.sparkSession)
-    chosen = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import encode_texts
-from .store import column, pieces, tune, written
+from .store import column, narrowed, pieces, tune, written
 
 #: Rows of (partition, remainder) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -135,7 +135,7 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
                 full += k
             yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(data, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(rem.astype(np.int32)), pa.array(ranks, pa.int64()), pa.array(before, pa.int64())], ["id", "ids", "n", "part", "rem", "rank", "full"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return written(chosen.mapInArrow(run, f"id {kind}, ids binary, n long, part int, rem int, rank long, full long"), "ids")
 
 

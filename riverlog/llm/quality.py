@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, pieces, tune
+from .store import column, narrowed, pieces, tune
 from .textbytes import NOT_SPACE, SAME, Block, U, covered, mix, run_sums, spans_hash
 
 #: About that many documents of either quality are learned from; longer ones than this many lines are not.
@@ -195,8 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     An id with several labels is good only if all are 1; null labels don't count.
     """
     tune(docs.sparkSession)
-    label = labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(quality_col).cast("int").alias("good"))
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    label = narrowed(labels, id_col, quality_col).where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(quality_col).cast("int").alias("good"))
+    text = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = {r["good"]: r["n"] for r in label.groupBy("good").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return DEFAULT
@@ -227,7 +227,7 @@ def judge(docs: DataFrame, model: LineModel, keep: list[str], text_col: str = "t
     other columns don't matter.
     """
     tune(docs.sparkSession)
-    chosen = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "content_share double"])
 
     def run(batches):

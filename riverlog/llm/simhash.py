@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .store import column, pieces, tune, written
+from .store import column, narrowed, pieces, tune, written
 from .textbytes import NOT_SPACE, Block, U, xxh64
 
 #: Fingerprints in a bucket that are compared with each other in one task.
@@ -238,7 +238,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(fingerprints(Block(column(b, "text")), size).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    return narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:

@@ -62,6 +62,16 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def narrowed(df: DataFrame, *names: str) -> DataFrame:
+    """Just these columns, once each. Others don't matter, even if their names differ in case alone or are repeated: a
+    column is the first of exactly that name."""
+    wanted = list(dict.fromkeys(names))
+    if missing := [n for n in wanted if n not in df.columns]:
+        raise ValueError(f"there is no column {', '.join(missing)}")
+    at = df.toDF(*(f"_{k}" for k in range(len(df.columns))))
+    return at.select(*(at[f"_{df.columns.index(n)}"].alias(n) for n in wanted))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a DataFrame that reads the files."""
     spark = df.sparkSession

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import encode_texts
-from .store import column, new_dir, pieces, tune, written
+from .store import column, narrowed, new_dir, pieces, tune, written
 from .textbytes import U
 
 MAGIC = b"RLWM0001"
@@ -241,7 +241,7 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the row number makes the order total and is the same on each attempt
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     chosen = chosen.repartitionByRange(n, F.col("id").asc_nulls_first(), "row").sortWithinPartitions(F.col("id").asc_nulls_first(), "row")
 
     def run(batches):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, pieces, tune
+from .store import column, narrowed, pieces, tune
 from .textbytes import ALPHA, Block, U, mix, spans_hash
 
 BITS = 20
@@ -143,8 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_if, id_col: str = "doc_id",
     null labels: an id is toxic if any of its labels is 1, and null labels don't count.
     """
     tune(docs.sparkSession)
-    label = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
-    text = docs.where(learn_if).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    label = narrowed(labels, id_col, toxic_col).where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
+    text = narrowed(docs, id_col, text_col).where(learn_if).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = {r["toxic"]: r["n"] for r in text.select("id").join(label, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = text.select("id").count()
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: flo
     Null and empty texts get the score of a text without words. Rows stay as they are; other columns don't matter.
     """
     tune(docs.sparkSession)
-    chosen = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", score double, predicted int"
 
     def run(batches):

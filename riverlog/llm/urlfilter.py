@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import lookup
-from .store import column, pieces, tune, written
+from .store import column, narrowed, pieces, tune, written
 from .textbytes import ALPHA, Block, spans_hash
 
 #: Words that mark a host as one to block.
@@ -160,6 +160,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], [*b.schema.names, "rule", "ruled"])
 
     host, path = parts(F.col(url_col))
+    pages = narrowed(pages, id_col, url_col, html_col)
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.array_join(path_tokens(path), " ").alias("key"))
     judged = written(judged.mapInArrow(match, f"id {kind}, host string, path string, key string, rule string, ruled string"), "urls")
 

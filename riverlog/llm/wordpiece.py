@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import column, pieces, tune
+from .store import column, narrowed, pieces, tune
 from .textbytes import NOT_SPACE, SAME, Block, U, run_sums
 
 
@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[bytes], keep: list[str], text
     """
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(vocabulary))
-    chosen = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]) + ", n_words long, n_tokens long"
 
     def run(batches):
