@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features are hashed words (letters; A-Z lower-cased) and word beginnings that occur in a text. Linear classifiers are trained in numpy with the
-non-negative estimator of the risk: pi * E_pos[l(+)] + max(0, E_unl[l(-)] - pi * E_pos[l(-)]), where pi is the class prior,
+Features are hashed words (letters; A-Z lower-cased) and word beginnings, by the logarithm of how often they occur in a text, and the
+logarithm of its length, as long texts hold more by chance. Those that positive texts have clearly more often than unlabelled ones are kept
+(a likelihood-ratio test, in which copies of a text count once). Linear classifiers are trained in numpy with the non-negative estimator of the risk: pi * E_pos[l(+)] + max(0, E_unl[l(-)] - pi * E_pos[l(-)]), where pi is the class prior,
 from confirmed toxic texts and from texts whose label isn't looked at. When the bracket falls below zero, the step goes back up
 its gradient instead. Several classifiers with other seeds are averaged. Platt scaling on labelled learning rows makes
 probabilities of the sums.
@@ -22,6 +23,8 @@ BITS = 20
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2048
 #: Bytes of a word's beginning that are features too.
 PREFIXES = (5, 6, 7, 8)
+#: The likelihood ratio that a feature needs, and the levels of log2(1 + count) that are told apart.
+CLEAR, LEVELS = 20.0, 3
 
 
 def _features(block: Block):
@@ -35,29 +38,43 @@ def _features(block: Block):
         yield text[of], (mix(h + U(k)) >> U(64 - BITS)).astype(np.int32)
 
 
-def word_buckets(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct features of each text, and offsets."""
-    key = np.unique(np.concatenate([np.unique((text.astype(np.uint64) << U(BITS)) | ids.astype(np.uint64)) for text, ids in _features(block)]))
-    return (key & U((1 << BITS) - 1)).astype(np.int32), np.searchsorted(key, np.arange(block.n + 1).astype(np.uint64) << U(BITS))
+def word_buckets(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct features of each text in ascending order, their counts, offsets by text, and words by text."""
+    found = [(text.astype(np.uint64) << U(BITS)) | ids.astype(np.uint64) for text, ids in _features(block)]
+    key, n = np.unique(np.concatenate(found), return_counts=True)
+    words = np.bincount((found[0] >> U(BITS)).astype(np.int64), minlength=block.n)
+    return (key & U((1 << BITS) - 1)).astype(np.int32), n, np.searchsorted(key, np.arange(block.n + 1).astype(np.uint64) << U(BITS)), words
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(1.0 + counts), LEVELS)
+
+
+def length(words: np.ndarray) -> np.ndarray:
+    """The feature for the length of texts, about 0 to 2."""
+    return np.log10(1.0 + words / 10.0) / 2
 
 
 class ToxicityModel:
-    """``weight``: by bucket; a score is sigmoid(slope * (sum of weights + bias) + shift)."""
+    """``weights``: by feature in ``buckets``, and at last that of the length; a score is sigmoid(slope * (their sum + bias) + shift)."""
 
     def __init__(self, buckets, weights, bias, slope, shift):
         self.buckets, self.weights, self.bias, self.slope, self.shift = buckets, weights, bias, slope, shift
 
     def margins(self, block: Block) -> np.ndarray:
         n = len(self.buckets)
+        if not n:
+            return np.full(block.n, self.bias)
         place = np.full(1 << BITS, -1, np.int32)
         place[self.buckets] = np.arange(n)
-        hits = [np.zeros(0, np.int64)]
-        for text, ids in _features(block):  # few words are features: only those are made distinct
+        hits, words = [], None
+        for text, ids in _features(block):  # few words are features: only those are counted
+            words = np.bincount(text, minlength=block.n) if words is None else words
             at = place[ids]
             found = np.flatnonzero(at >= 0)
-            hits.append(np.unique(text[found] * n + at[found]))
-        hits = np.unique(np.concatenate(hits))
-        return np.bincount(hits // max(n, 1), self.weights[hits % max(n, 1)] if n else None, minlength=block.n)[: block.n] + self.bias
+            hits.append(text[found] * n + at[found])
+        hits, counts = np.unique(np.concatenate(hits), return_counts=True)
+        return np.bincount(hits // n, self.weights[hits % n] * levels(counts), minlength=block.n)[: block.n] + self.weights[n] * length(words) + self.bias
 
     def scores(self, block: Block) -> np.ndarray:
         return sigmoid(self.slope * self.margins(block) + self.shift)
@@ -67,39 +84,65 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(docs: list[np.ndarray], toxic: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, prior: float, models: int = 3, epochs: int = 60, rate: float = 0.1, seed: int = 11) -> ToxicityModel:
-    """docs: buckets by row; toxic: rows confirmed; unlabelled: rows taken as unlabelled; known: 0, 1 or -1 by row, for scaling."""
+def _alone(docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """``rows`` without all but the first of texts that are likely copies: those with the same four min-hashes of their features."""
+    seen, out = set(), []
+    for k in rows.tolist():
+        h = docs[k].astype(np.uint64)
+        sign = tuple(int(mix(h * U(2) + U(2 * j + 1)).min()) for j in range(4)) if len(h) else ()
+        if sign not in seen:
+            seen.add(sign)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _clear(docs: list[np.ndarray], pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
+    """The features that stand out in positive texts by the likelihood-ratio statistic, at most ``FEATURES``, ascending."""
+
+    def often(rows):
+        return np.bincount(np.concatenate([docs[k] for k in rows] + [np.zeros(0, np.int32)]), minlength=1 << BITS).astype(np.float64)
+
+    pos, unl = _alone(docs, pos), _alone(docs, unl)
+    a, b = often(pos), often(unl)
+    p, u, every = a / len(pos), b / len(unl), (a + b) / (len(pos) + len(unl))
+
+    def part(k, n, share):  # k of n texts, by their own share and by the common one
+        log = lambda x, y: np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(y, 1e-12)), 0.0)
+        return log(k, n * share) + log(n - k, n * (1 - share))
+
+    g = 2 * (part(a, len(pos), every) + part(b, len(unl), every))
+    g[(a < 3) | (p <= u)] = 0
+    top = np.argsort(-g, kind="stable")[:FEATURES]
+    return np.sort(top[g[top] > CLEAR]).astype(np.int32)
+
+
+def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, prior: float, models: int = 3, epochs: int = 60, rate: float = 0.1, seed: int = 11) -> ToxicityModel:
+    """docs: distinct features by row, with counts; words: their number by row; toxic: rows confirmed; unlabelled: rows taken as
+    unlabelled; known: 0, 1 or -1 by row, for scaling."""
     pos, unl = np.flatnonzero(toxic), np.flatnonzero(unlabelled)
     prior = float(np.clip(prior, 0.001, 0.9))
     if not len(pos) or not len(unl):
         rest = np.log(prior / (1 - prior))
-        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0), 0.0, 1.0, float(rest))
-
-    def often(rows):
-        return np.bincount(np.concatenate([docs[k] for k in rows]), minlength=1 << BITS)
-
-    in_pos, in_unl = often(pos), often(unl)
-    p, u = (in_pos + 0.5) / (len(pos) + 1), (in_unl + 0.5) / (len(unl) + 1)
-    z = np.where(in_pos >= 3, np.abs(p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)) / len(pos) + 1e-9), 0)
-    buckets = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    buckets = buckets[z[buckets] > 8.0].astype(np.int32)
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(1), 0.0, 1.0, float(rest))
+    buckets = _clear(docs, pos, unl)
     n = len(buckets)
-    x = np.zeros((len(docs), n), np.float32)
+    x = np.zeros((len(docs), n + 1), np.float32)
     for k, ids in enumerate(docs):
         at = np.searchsorted(buckets, ids)
         ok = at < n
         ok[ok] = buckets[at[ok]] == ids[ok]
-        x[k, at[ok]] = 1
-    total, offset = np.zeros(n), 0.0
+        x[k, at[ok]] = levels(counts[k][ok])
+    x[:, n] = length(words)
+    total, offset = np.zeros(n + 1), 0.0
     for m in range(models):
         rng = np.random.default_rng(seed + m)
-        w, b = rng.normal(0, 0.01, n), 0.0
-        gw, gb = np.full(n, 1e-6), 1e-6
+        w, b = rng.normal(0, 0.01, n + 1), 0.0
+        gw, gb = np.full(n + 1, 1e-6), 1e-6
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(pos), max(1, len(pos) // 256)):
                 some = rng.choice(unl, min(len(unl), 3 * len(part) + 64), replace=False)
                 sp, su = sigmoid(x[part] @ w + b), sigmoid(x[some] @ w + b)
-                # the sigmoid loss l(m) = sigmoid(-m): d l(+)/dm = -s (1 - s), d l(-)/dm = s (1 - s); logistic here, which is convex
+                # logistic loss: d l(+)/dm = s - 1, d l(-)/dm = s
                 neg_risk = np.mean(-np.log(1 - su + 1e-9)) - prior * np.mean(-np.log(1 - sp + 1e-9))
                 dp, du = prior * (sp - 1) / len(part), su / len(some)
                 dn = -prior * sp / len(part)
@@ -155,16 +198,17 @@ def learn(docs: DataFrame, labels: DataFrame, learn_if, id_col: str = "doc_id",
 
     def run(batches):
         for b in pieces(batches, "text"):
-            ids, off = word_buckets(Block(column(b, "text")))
-            yield pa.RecordBatch.from_arrays([column(b, "id").cast(pa.string()), column(b, "toxic"), pa.array([ids[a:c].astype("<i4").tobytes() for a, c in zip(off, off[1:], strict=False)])], ["id", "toxic", "ids"])
+            ids, n, off, words = word_buckets(Block(column(b, "text")))
+            packed = [pa.array([v[a:c].astype("<i4").tobytes() for a, c in zip(off, off[1:], strict=False)], pa.binary()) for v in (ids, n)]
+            yield pa.RecordBatch.from_arrays([column(b, "id").cast(pa.string()), column(b, "toxic"), *packed, pa.array(words)], ["id", "toxic", "ids", "n", "words"])
 
-    got = sorted(sample.mapInArrow(run, "id string, toxic int, ids binary").collect(), key=lambda r: (r["id"] or "", bytes(r["ids"])))
+    got = sorted(sample.mapInArrow(run, "id string, toxic int, ids binary, n binary, words long").collect(), key=lambda r: (r["id"] or "", bytes(r["ids"]), bytes(r["n"])))
     known = np.array([-1 if r["toxic"] is None else r["toxic"] for r in got], int)
     rng = np.random.default_rng(5)
     # unlabelled rows are a plain sample of all: toxic ones stand there with the share they have
     plain = np.where(known == 1, rng.random(len(known)) < unlabelled / max(1, rows) / min(1.0, positives / max(1, seen.get(1, 0))), True) if len(known) else known.astype(bool)
     prior = seen.get(1, 0) / max(1, sum(seen.values()))
-    return train([np.frombuffer(r["ids"], "<i4") for r in got], known == 1, plain, known, prior)
+    return train([np.frombuffer(r["ids"], "<i4") for r in got], [np.frombuffer(r["n"], "<i4") for r in got], np.array([r["words"] for r in got], np.int64), known == 1, plain, known, prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
