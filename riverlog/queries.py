@@ -20,7 +20,7 @@ DAY_NS = 86_400 * 10**9
 
 _EVENTS = """ev AS (SELECT epoch_ns(ts) AS log_time, CAST(user_id AS VARCHAR) AS producer, '/' || event_type AS topic, event_id AS sequence, value, event_type, props FROM events)"""
 _ORDERS = """od AS (SELECT epoch_ns(o_orderdate) AS log_time, o_orderstatus AS producer, '/orders' AS topic, o_orderkey AS sequence, o_custkey, o_totalprice, o_orderpriority FROM orders)"""
-_LINES = """li AS (SELECT epoch_ns(l_shipdate) AS log_time, l_returnflag AS producer, '/lineitem' AS topic, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS sequence, l_linenumber, l_quantity, l_extendedprice, l_linestatus FROM lineitem)"""
+_LINES = """li AS (SELECT epoch_ns(l_shipdate) AS log_time, l_returnflag AS producer, '/lineitem' AS topic, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS sequence, l_linenumber, l_quantity, l_extendedprice, l_linestatus FROM lineitem)"""
 _ROW = "log_time, producer, topic, sequence"
 
 QUERIES: dict[str, Query] = {}

@@ -79,7 +79,8 @@ def messages(raw: bytes) -> Iterator[Message]:
         for op, body in records:
             c = _Cursor(body)
             if op == SCHEMA:
-                schemas[c.take("H")] = (c.text(), c.text(), c.bytes(c.take("I")))
+                number = c.take("H")
+                schemas[number] = (c.text(), c.text(), c.bytes(c.take("I")))
             elif op == CHANNEL:
                 number, schema, topic, encoding = c.take("H"), c.take("H"), c.text(), c.text()
                 end, metadata = c.take("I") + c.at, {}

@@ -47,7 +47,7 @@ def driver_topics(spark: SparkSession, sf_dir: str) -> Topics:
 
     def lineitem(between: Between) -> DataFrame:
         # a line's place in its order makes the sequence unique; orders are small, so no window is large
-        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice"))
         rows = read("lineitem").withColumn("sequence", F.col("l_orderkey") * 1000 + place)
         data = F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
         return _pushed(rows, "l_shipdate", between).select(nanos("l_shipdate").alias("log_time"), F.col("l_returnflag").alias("producer"), "sequence", data.alias("data"))
