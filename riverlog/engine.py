@@ -13,7 +13,8 @@ from .plans.plan import compile_query, describe
 
 
 class Engine:
-    """``source``: ``sources.base.Topics`` or ``sources.store.LogStore``. asof_bucket_ns: see ``operators.asof.bucketed_rows``."""
+    """``source``: ``sources.base.Topics`` or ``sources.store.LogStore``. asof_bucket_ns: the width
+    of the time buckets in which as-of joins run; None: measured where a producer is too large for one task, 0: no buckets."""
 
     def __init__(self, spark: SparkSession, source, asof_bucket_ns: int | None = None):
         self.spark, self.source, self.asof_bucket_ns = spark, source, asof_bucket_ns
@@ -62,20 +63,20 @@ class Engine:
         line = F.concat(F.lit('{"topic":'), F.expr("substring(__t, 1, length(__t) - 1)"), F.lit(',"sequence":'), F.col("sequence").cast("string"), F.lit(',"log_time":'), seconds("log_time"), F.lit(',"publish_time":'), seconds("publish_time"), F.lit(',"data":'), F.coalesce(*payloads), F.lit("}"))
         return out.withColumn("__t", topic).select(line.alias("line"))
 
-    def _topic(self, topic: str) -> list[DataFrame]:
-        frames = self.source.frames(topic)
+    def _topic(self, topic: str, at_version: int | None = None) -> list[DataFrame]:
+        frames = self.source.frames(topic) if at_version is None else self.source.frames(topic, at_version=at_version)
         if not frames:
             raise TableNotFoundError(f"topic {topic} not found")
         return frames
 
-    def statrange(self, topic: str, start_ns: int, end_ns: int, granularity_ns: int, producer: str | None = None, names: list[str] | None = None, quantiles: str | None = "approx") -> DataFrame:
-        """All statistics of a topic's fields, a row each, by bin and schema. Times are in ns."""
-        frames = [f if producer is None else f.where(F.col("producer") == producer) for f in self._topic(topic)]
+    def statrange(self, topic: str, start_ns: int, end_ns: int, granularity_ns: int, producer: str | None = None, names: list[str] | None = None, quantiles: str | None = "approx", at_version: int | None = None) -> DataFrame:
+        """All statistics of a topic's fields, a row each, by bin and schema. Times are in ns. at_version: as a ``LogStore`` was then."""
+        frames = [f if producer is None else f.where(F.col("producer") == producer) for f in self._topic(topic, at_version)]
         return union([stats.statrange(f, start_ns, end_ns, granularity_ns, names, quantiles) for f in frames])
 
-    def statistics(self, topic: str, field: str, names: list[str], start_s: int, end_s: int, granularity_s: int, producer: str | None = None, by_producer: bool = False, quantiles: str = "approx") -> DataFrame:
+    def statistics(self, topic: str, field: str, names: list[str], start_s: int, end_s: int, granularity_s: int, producer: str | None = None, by_producer: bool = False, quantiles: str = "approx", at_version: int | None = None) -> DataFrame:
         """Chosen statistics of one field, a column each, by bin. Times are in seconds. The field has to be in all schemas."""
-        frames = self._topic(topic)
+        frames = self._topic(topic, at_version)
         if len(frames) > 1:  # one payload with just this field, so that statistics span schemas
             from .operators.predicates import resolve
 

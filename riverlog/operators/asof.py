@@ -7,8 +7,9 @@ columns (log_time, side, branch, sequence), which have to be unique.
 ``rows`` gives the narrow result: matched left rows once, and matched right rows. Whether a left row is matched shows in the next
 row alone, so one sort answers everything and nothing is joined. ``pairs`` gives a row for each match.
 
-One producer is one window partition. ``bucketed_rows`` cuts time into buckets, hands each bucket the last left row and the neighbours
-from summaries of the others, and so spreads one large producer over many tasks with the same result.
+One producer is one window partition of ``rows``. ``bucketed_rows`` cuts time into buckets, hands each bucket the last left row and the
+neighbours from summaries of the others, and so spreads one large producer over many tasks with the same result. ``spread_rows``, which
+queries use, measures the input and takes the first as long as no producer is too large for a task, else the second.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ("log_time", "side", "branch", "sequence")
+#: Inputs of at most so many bytes are sorted as they are: no task can get more. Rows that a window partition should have at most.
+SMALL_BYTES, PARTITION_ROWS = 256 << 20, 4_000_000
 
 
 def _both(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -52,7 +55,9 @@ def rows(left: DataFrame, right: DataFrame, immediate: bool = False, within: int
 
 def bucketed_rows(left: DataFrame, right: DataFrame, bucket_ns: int, immediate: bool = False, within: int = 0, keys: tuple[str, ...] = ("producer",)) -> DataFrame:
     """The result of ``rows``, with windows over (keys, bucket of ``bucket_ns``)."""
-    u = _both(left, right).withColumn("__bucket", F.expr(f"log_time div {int(bucket_ns)}L"))
+    u = _both(left, right)
+    names = [c for c in u.columns if c != "side"]
+    u = u.withColumn("__bucket", F.expr(f"log_time div {int(bucket_ns)}L"))
     order = F.struct(*ORDER)
     # one row for each bucket, combined map-side; the windows below are over these alone
     summary = u.groupBy(*keys, "__bucket").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.max(F.when(F.col("side") == 0, F.col("log_time"))).alias("left"))
@@ -74,7 +79,32 @@ def bucketed_rows(left: DataFrame, right: DataFrame, bucket_ns: int, immediate:
     }
     u = u.withColumns(helpers)
     keep = _keep(F.col("side"), F.col("log_time"), F.col("__left"), F.col("__before"), F.col("__next"), F.col("__time"), immediate, within)
-    return u.where(keep).drop(*helpers, "side", "__bucket", "__c_left", "__c_before", "__c_next")
+    return u.where(keep).select(*names)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer knows about the size of a plan's result, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucket_width(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("producer",)) -> int:
+    """The width of buckets in ns at which the densest one of the largest producer has about ``PARTITION_ROWS`` rows; 0 if no producer
+    has more than that. Reads keys and times only, and counts them map-side."""
+    if estimated_bytes(left) + estimated_bytes(right) <= SMALL_BYTES:
+        return 0
+    slim = left.select(*keys, "log_time").unionByName(right.select(*keys, "log_time"))
+    top = slim.groupBy(*keys).agg(F.count("*").alias("n"), F.min("log_time").alias("low"), F.max("log_time").alias("high")).agg(F.max("n").alias("n"), F.max(F.when(F.col("n") > PARTITION_ROWS, F.col("high") - F.col("low"))).alias("span")).first()
+    if not top["n"] or top["n"] <= PARTITION_ROWS:
+        return 0
+    fine = max(1, top["span"] // 4096)
+    densest = slim.groupBy(*keys, F.expr(f"log_time div {fine}L").alias("bin")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return fine * max(1, PARTITION_ROWS // densest)
+
+
+def spread_rows(left: DataFrame, right: DataFrame, immediate: bool = False, within: int = 0, keys: tuple[str, ...] = ("producer",)) -> DataFrame:
+    """The result of ``rows``, in buckets where a producer is too large for one task."""
+    width = bucket_width(left, right, keys)
+    return bucketed_rows(left, right, width, immediate, within, keys) if width else rows(left, right, immediate, within, keys)
 
 
 def pairs(left: DataFrame, right: DataFrame, immediate: bool = False, within: int = 0, keys: tuple[str, ...] = ("producer",)) -> DataFrame:

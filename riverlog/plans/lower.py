@@ -32,7 +32,8 @@ def order(desc: bool = False) -> list[Column]:
 
 
 class Lowering:
-    """``source`` gives ``frames(topic, between)`` and ``missing(topic, producers)``; ``bucket_ns``: as-of joins work in buckets of that width."""
+    """``source`` gives ``frames(topic, between)`` and ``missing(topic, producers)``; ``bucket_ns``: as-of joins work in
+    buckets of that width; None: of a width that is measured where a producer is large, 0: never."""
 
     def __init__(self, source, plan: Plan, bucket_ns: int | None = None):
         self.source, self.plan, self.bucket_ns, self.branch = source, plan, bucket_ns, 0
@@ -43,9 +44,8 @@ class Lowering:
         frames = self.source.frames(node.topic, query.between)
         if not frames:
             raise TableNotFoundError(f"table {self.source.database}:{(query.producers or ('*',))[0]}:{node.topic} not found")
-        for p in query.producers or ():
-            if p in self.source.missing(node.topic, query.producers):
-                raise TableNotFoundError(f"table {self.source.database}:{p}:{node.topic} not found")
+        if query.producers and (missing := self.source.missing(node.topic, query.producers)):
+            raise TableNotFoundError(f"table {self.source.database}:{missing[0]}:{node.topic} not found")
         out = []
         for frame in frames:  # one for each schema: a field has to be in all of them
             if query.producers is not None:
@@ -68,7 +68,8 @@ class Lowering:
             right = self.node(node.right)
             if self.bucket_ns:
                 return asof.bucketed_rows(left, right, self.bucket_ns, node.immediate, node.within)
-            return asof.rows(left, right, node.immediate, node.within)
+            join = asof.spread_rows if self.bucket_ns is None else asof.rows
+            return join(left, right, node.immediate, node.within)
         raise PlanError(f"unknown plan node {node!r}")
 
     def unordered(self) -> DataFrame:

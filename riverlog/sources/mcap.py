@@ -1,7 +1,7 @@
 """Reading and writing MCAP files (the public format for timestamped messages), uncompressed or with zstd chunks.
 
-``read`` gives the messages of files as rows through the data source API-independent ``binaryFile`` reader, one file a task;
-``messages`` is the parser, and ``Writer`` makes files.
+``read`` gives the messages of files as rows by the ``binaryFile`` reader, one file a task; ``messages`` is the parser, and ``Writer``
+makes files.
 """
 
 from __future__ import annotations
@@ -245,3 +245,24 @@ def write(frame: DataFrame, path: str, definition: str, schema_name: str = "", t
         out.add(r["topic"], r["sequence"], r["log_time"], encode(fields, _payload(kind, r[topic_data])), r["publish_time"], (schema_name, "ros1msg", definition.encode()))
     with open(path, "wb") as f:
         f.write(out.close())
+
+
+def write_result(result: DataFrame, path: str, schemas: dict[str, tuple[str, str]]) -> None:
+    """Writes the result of a query, with all its topics and schemas, in its order to one local MCAP file.
+
+    schemas: (name, definition) by schema hash, see ``schemas_of``. Equal schemas and channels are written once. A result without
+    payloads gives messages without data, and schemas without definitions. As with ``write``, the rows stream through the driver."""
+    out = Writer()
+    kinds = {f.name: f.dataType for f in result.schema.fields if f.name.startswith("data_")}
+    fields = {h: parse(d) for h, (_, d) in schemas.items()} if kinds else {}
+    for r in result.toLocalIterator():
+        name, definition = schemas.get(r["schema_hash"], ("", ""))
+        data = next((encode(fields[r["schema_hash"]], _payload(kinds[c], r[c])) for c in kinds if r[c] is not None), b"")
+        out.add(r["topic"], r["sequence"], r["log_time"], data, r["publish_time"], (name, "ros1msg", definition.encode() if kinds else b""))
+    with open(path, "wb") as f:
+        f.write(out.close())
+
+
+def schemas_of(store) -> dict[str, tuple[str, str]]:
+    """(name, definition) of all ros1 schemas of a ``LogStore`` by hash."""
+    return {r["hash"]: (r["name"], r["definition"]) for r in store.catalog("schemas").where("encoding = 'ros1msg'").collect()}

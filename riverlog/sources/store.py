@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import time
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +32,13 @@ _CATALOG = {
 }
 
 
+def databases(spark: SparkSession, base: str) -> list[str]:
+    """The names of the databases in the folder ``base``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(unquote(s.getPath().getName()) for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 class LogStore:
     """A database in the folder ``base``, which any Hadoop file system may hold."""
 
@@ -127,7 +134,9 @@ class LogStore:
         returns the version. A visible row with the same (producer, log_time, sequence) keeps a new one out; late rows are welcome."""
         batch = enveloped(rows.drop("version", "topic", "schema_hash"), topic, definition)
         hash_, version = schema_hash(batch.schema["data"].dataType, definition), self.version() + 1
-        old = [f.select("producer", "topic", "log_time", "sequence") for f in self.frames(topic)]
+        # stored rows that can be the same lie in the batch's range of time: the buckets of other times aren't read
+        low, high = batch.agg(F.min("log_time"), F.max("log_time")).first()
+        old = [f.select("producer", "topic", "log_time", "sequence") for f in self.frames(topic, (0, 0) if low is None else (low, high + 1))]
         stored = old[0] if old else None
         for f in old[1:]:
             stored = stored.union(f)

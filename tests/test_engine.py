@@ -137,6 +137,19 @@ def test_as_of_against_a_loop(spark, immediate, within):
         assert sorted((x["log_time"], x["branch"], x["sequence"]) for x in out.collect()) == brute_as_of(rows, immediate, within)
 
 
+def test_large_producers_are_cut_into_buckets(spark, monkeypatch):
+    monkeypatch.setattr(asof, "SMALL_BYTES", 0)
+    left = spark.range(400).select((F.col("id") * 3).alias("log_time"), F.when(F.col("id") < 300, "p").otherwise("q").alias("producer"), F.lit(0).alias("branch"), F.col("id").alias("sequence"))
+    right = left.select((F.col("log_time") + 1).alias("log_time"), "producer", F.lit(1).alias("branch"), "sequence")
+    assert asof.bucket_width(left, right) == 0  # no producer is large
+    monkeypatch.setattr(asof, "PARTITION_ROWS", 50)
+    width = asof.bucket_width(left, right)
+    assert 0 < width < 900
+    both = left.union(right).where("producer = 'p'")
+    assert both.groupBy(F.expr(f"log_time div {width}")).count().agg(F.max("count")).first()[0] <= 100
+    assert sorted(asof.spread_rows(left, right, True, 2).collect()) == sorted(asof.rows(left, right, True, 2).collect())
+
+
 def test_pairs(spark):
     out = asof.pairs(frame(spark, [1, 5, 10], 0), frame(spark, [4, 7, 8, 15], 1))
     assert sorted((r["left"]["log_time"], r["right"]["log_time"]) for r in out.collect()) == [(1, 4), (5, 7), (5, 8), (10, 15)]

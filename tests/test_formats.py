@@ -144,3 +144,19 @@ def test_import_query_and_write(spark, tmp_path):
     mcap.write(frame.orderBy("log_time"), str(tmp_path / "b.mcap"), "string data\nint16 count", "package/test")
     back = mcap.read(spark, str(tmp_path / "b.mcap"))
     assert [(r["sequence"], bytes(r["raw"])) for r in back.collect()] == [(m.sequence, m.data) for m in mcap.messages(file()) if m.topic == "topic-0"]
+
+
+def test_results_of_several_topics(spark, tmp_path):
+    (tmp_path / "a.mcap").write_bytes(file())
+    store = LogStore(spark, f"file://{tmp_path}/store")
+    mcap.import_file(store, str(tmp_path / "a.mcap"), "robot")
+    engine, text = Engine(spark, store), "from robot topic-0, topic-1;"
+    mcap.write_result(engine.query(text), str(tmp_path / "b.mcap"), mcap.schemas_of(store))
+    key = lambda m: (m.topic, m.sequence, m.log_time, m.definition, m.data)
+    got = list(mcap.messages((tmp_path / "b.mcap").read_bytes()))
+    assert [key(m) for m in got] == [key(m) for m in mcap.messages(file())]
+    mcap.write_result(engine.query(text, skeleton=True), str(tmp_path / "c.mcap"), mcap.schemas_of(store))
+    bare = list(mcap.messages((tmp_path / "c.mcap").read_bytes()))
+    assert [(m.topic, m.log_time) for m in bare] == [(m.topic, m.log_time) for m in got] and {(m.data, m.definition) for m in bare} == {(b"", b"")}
+    mcap.write_result(engine.query("from robot topic-0 limit 0;"), str(tmp_path / "d.mcap"), mcap.schemas_of(store))
+    assert list(mcap.messages((tmp_path / "d.mcap").read_bytes())) == []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riverlog.engine import Engine
 from riverlog.errors import TableNotFoundError
 from riverlog.operators.visibility import deduplicated, masked, without_range
-from riverlog.sources.store import BUCKET_NS, LogStore
+from riverlog.sources.store import BUCKET_NS, LogStore, databases
 from riverlog.streaming import tail as tails
 
 SECOND = 10**9
@@ -97,6 +97,11 @@ def test_versions_and_history(spark, store):
     assert sorted(map(tuple, store.tables().collect())) == [("p", "t", 1), ("q", "t", 3)]
     assert [tuple(r) for r in store.producers(["t"]).orderBy("producer").collect()] == [("p", ["t"]), ("q", ["t"])]
     assert store.topics() == ["t"]
+    engine = Engine(spark, store)
+    counts = [engine.statistics("t", "count", ["count"], 0, 100, 60, at_version=v).collect() for v in (1, 2, 3)]
+    assert [[r["count"] for r in x] for x in counts] == [[1], [], [1]]
+    LogStore(spark, store.base.rpartition("/")[0], "a/b").ingest(rows(spark, [1]), "t")
+    assert databases(spark, store.base.rpartition("/")[0]) == ["a/b", "db"] and databases(spark, store.base + "/nothing") == []
 
 
 def test_schemas(spark, store):
