@@ -14,10 +14,16 @@ most ``radius`` bits are linked, and linked texts form components. The plan:
    neighbour at distance 1 or less, and all that share such a neighbour are within 2. Each is sent to its 65 neighbours; 65
    meet at one at most.
 6. Components of the links are found by distributed star operations (``graph``).
+
+Links of 64-bit fingerprints within two bits join texts that differ in very little. ``near_groups``, which removal of near-duplicates
+uses, adds links by a shingle similarity: fingerprints of ``WIDE`` x 64 bits over distinct five-word shingles differ in a share of bits
+that follows from the similarity. Texts are compared, bit-sliced as before, where they agree in the least shingles of one of ``BANDS``
+sets of orders; buckets of many texts are salted into chunks, and what represents a chunk's groups is compared in a second step.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,12 +34,18 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .store import column, narrowed, pieces, tune, written
-from .textbytes import NOT_SPACE, Block, U, xxh64
+from .textbytes import NOT_SPACE, Block, U, mix, xxh64
 
 #: Fingerprints in a bucket that are compared with each other in one task.
 HOT = 1024
 #: Rows of whole buckets that are compared at once.
 ROWS = 8192
+#: Words of 64 bits in a wide fingerprint; buckets of a text, and the least shingles that a bucket's key has.
+WIDE, BANDS, LEAST = 8, 14, 3
+#: Texts of a bucket that one task compares; of those that are linked among them, so many stand for the others.
+CHUNK, KEPT = 4096, 4
+#: Hot buckets that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view("<u8").ravel()
 
@@ -70,8 +82,12 @@ def shingle_hashes(block: Block, size: int = 3) -> tuple[np.ndarray, np.ndarray]
 
 def fingerprints(block: Block, size: int = 3) -> np.ndarray:
     """One unsigned 64-bit fingerprint for each text; zero for a text without words."""
-    hashes, off = shingle_hashes(block, size)
-    n, out = np.diff(off), np.zeros(block.n, np.uint64)
+    return majority(*shingle_hashes(block, size))
+
+
+def majority(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The bits that over half of each text's hashes have, as one unsigned long; zero for a text without hashes."""
+    n, out = np.diff(off), np.zeros(len(off) - 1, np.uint64)
     full = np.flatnonzero(n)
     if not len(full):
         return out
@@ -259,14 +275,205 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return table.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` without near-duplicates: the row with the smallest id of each component stays.
+def distinct_shingles(block: Block, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each text's distinct shingles, and their offsets by text; a shorter text is one shingle."""
+    words = block.words(NOT_SPACE)
+    count = words.count
+    n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    text = np.repeat(np.arange(block.n), n)
+    first = np.repeat(words.off[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    length = np.repeat(np.minimum(count, size), n)
+    h = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        has = length > k
+        h[has] = mix(h[has] * U(3) + words.hash[first[has] + k])
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new], np.searchsorted(text[new], np.arange(block.n + 1))
+
+
+def wide_fingerprints(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(texts, WIDE) unsigned longs: fingerprints by as many hash functions."""
+    return np.stack([majority(mix(hashes + U(k * 0x9E3779B97F4A7C15 % (1 << 64))), off) for k in range(1, WIDE + 1)], axis=1) if len(off) > 1 else np.zeros((0, WIDE), np.uint64)
+
+
+def band_keys(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(texts with shingles, BANDS) bucket keys: each of the least shingles in ``LEAST`` orders."""
+    start = off[:-1][np.diff(off) > 0]
+    factors = np.random.default_rng(99).integers(1, 1 << 62, BANDS * LEAST, dtype=np.uint64) * U(2) + U(1)
+    out = np.zeros((len(start), BANDS), np.uint64)
+    if len(start):
+        for k, f in enumerate(factors):
+            out[:, k // LEAST] = mix(out[:, k // LEAST] * U(5) + np.minimum.reduceat(hashes * f, start))
+    return out
+
+
+def wide_radius(similarity: float) -> int:
+    """The number of bits in which wide fingerprints of texts with that share of common shingles differ, with a standard deviation's room."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of equal size
+    return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
+
+
+def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j < end[i], of which the rows of ``values`` differ in ``radius`` bits at most, for any width and radius.
+
+    As ``near_pairs``, with counters of as many bits as the radius needs. They start so high that a count over the radius overflows.
+    ``most``: (row, block of 64 rows) items at a time.
+    """
+    row = np.flatnonzero(end > np.arange(len(values)) + 1)
+    found = [(np.zeros(0, np.int64),) * 2]
+    if not len(row):
+        return found[0]
+    store = np.ascontiguousarray(np.concatenate([planes(values[:, w]) for w in range(values.shape[1])], axis=1).T)
+    ones, zero, levels = U(0xFFFFFFFFFFFFFFFF), U(0), max(2, int(radius).bit_length())
+    preset = (1 << levels) - 1 - radius
+    first, last = (row + 1) // 64, (end[row] - 1) // 64
+    total = np.cumsum(last - first + 1)
+    cuts = [0, *(np.searchsorted(total, np.arange(most, total[-1], most)) + 1).tolist(), len(row)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi <= lo:
+            continue
+        n = last[lo:hi] - first[lo:hi] + 1
+        item, block = np.repeat(row[lo:hi], n), np.repeat(first[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        low, high = np.maximum(item + 1 - 64 * block, 0), np.minimum(end[item] - 64 * block, 64)
+        live = (ones >> (64 - high).astype(np.uint64)) & (ones << low.astype(np.uint64))
+        c = [np.full(len(item), ones if preset >> k & 1 else zero) for k in range(levels)]
+        over, b = np.zeros(len(item), np.uint64), 0
+        while b < len(store) and len(item):
+            x, y, z = ((store[k][block] ^ (zero - ((values[item, k // 64] >> U(k % 64)) & U(1)))) if k < len(store) else np.zeros(len(item), np.uint64) for k in (b, b + 1, b + 2))
+            s, carry = x ^ y ^ z, (x & y) | (z & (x ^ y))
+            up = c[0] & s
+            c[0] = c[0] ^ s
+            c[1], up = c[1] ^ carry ^ up, (c[1] & carry) | (up & (c[1] ^ carry))
+            for k in range(2, levels):
+                c[k], up = c[k] ^ up, c[k] & up
+            over |= up
+            b += 3
+            if b % 24 == 0 or b >= len(store):
+                live = live & ~over
+                if not (keep := live != 0).all():
+                    item, block, live, over = (a[keep] for a in (item, block, live, over))
+                    c = [a[keep] for a in c]
+        if len(item):
+            at, j = np.nonzero(np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            found.append((item[at], 64 * block[at] + j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+_BUCKETS = "kind int, band int, key long, a long, b long, wide binary"
+
+
+def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """From rows (band, key, salt, node, wide) in the order of (band, key, salt): links (0, .., a, root) within buckets or chunks of them
+    and, of chunks (salt >= 0), up to ``KEPT`` members of each group that is linked there (1, band, key, node, .., wide)."""
+
+    def done(rows):
+        band, key, salt, node, wide = rows
+        values = np.frombuffer(b"".join(wide), "<u8").reshape(-1, WIDE)
+        new = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
+        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(node)]])
+        root = _roots(len(node), *near_rows(values, np.repeat(ends, ends - starts), radius))
+        linked = np.flatnonzero(root != np.arange(len(node)))
+        if len(linked):
+            none = pa.nulls(len(linked))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(linked), np.int32)), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(node[linked]), pa.array(node[root[linked]]), none.cast(pa.binary())], ["kind", "band", "key", "a", "b", "wide"])
+        if len(part := np.flatnonzero(salt >= 0)):
+            part = part[np.argsort(root[part], kind="stable")]
+            group = np.concatenate([[True], root[part][1:] != root[part][:-1]])
+            place = np.arange(len(part)) - np.maximum.accumulate(np.where(group, np.arange(len(part)), 0))
+            part = part[place < KEPT]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(band[part]), pa.array(key[part]), pa.array(node[part]), pa.nulls(len(part)).cast(pa.int64()), pa.array([wide[k] for k in part.tolist()], pa.binary())], ["kind", "band", "key", "a", "b", "wide"])
+
+    held = None
+    for batch in batches:
+        got = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("band", "key", "salt", "node")] + [np.array([*column(batch, "wide").to_pylist(), None], object)[:-1]]
+        held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+        if len(held[3]) < ROWS:
+            continue
+        same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) & (held[2] == held[2][-1])
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield from done([x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[3]):
+        yield from done(held)
+
+
+def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket."""
+    spark = texts.sparkSession
+    n, radius = int(spark.conf.get("spark.sql.shuffle.partitions")), wide_radius(similarity)
+    rows = texts.select("node", F.posexplode("bands").alias("band", "key"))
+    hot = written(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
+    small = hot.count()
+    rows = texts.select("node", "wide", F.posexplode("bands").alias("band", "key"))
+    if small:
+        salted = rows.join(F.broadcast(hot) if small <= BROADCAST_ROWS else hot, ["band", "key"], "left")
+        salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))).otherwise(-1)
+        rows = salted.select("node", "wide", "band", "key", salt.cast("long").alias("salt"))
+    else:
+        rows = rows.withColumn("salt", F.lit(-1).cast("long"))
+    run = lambda df, *by: df.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(lambda it: _compare_wide(it, radius), _BUCKETS)
+    found = written(run(rows, "band", "key", "salt"), "similar")
+    links = found.where("kind = 0").select("a", "b")
+    if small:
+        again = found.where("kind = 1").select("band", "key", F.lit(-1).cast("long").alias("salt"), F.col("a").alias("node"), "wide")
+        links = links.union(run(again, "band", "key", "salt").where("kind = 0").select("a", "b"))
+    return links
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(id, component_id) of each row of ``docs``: groups by the links of ``near_duplicates`` and those of texts that share
+    ``similarity`` or more of their distinct shingles of ``words`` words, as wide fingerprints estimate it. Nulls, empty texts and
+    repeated rows are as there."""
+    tune(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            block = Block(column(b, "text"))
+            hashes, off = distinct_shingles(block, words)
+            wide = wide_fingerprints(hashes, off).astype("<u8")
+            full = np.diff(off) > 0
+            sizes = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(sizes), pa.array(band_keys(hashes, off).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(fingerprints(block, size).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), bands], ["id", "fp", "wide", "bands"])
+
+    rows = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = rows.mapInArrow(run, f"id {kind}, fp long, wide binary, bands array<long>").withColumn("node", F.xxhash64("fp", "wide"))
+    table = written(table, "fingerprints")
+    texts = written(table.groupBy("node").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "texts")
+    of_fp = lambda c: F.xxhash64(F.lit("fp"), F.col(c))  # noqa: E731  a node for each short fingerprint
+    near = links(texts.select("fp").distinct(), radius).select(of_fp("a").alias("a"), of_fp("b").alias("b"))
+    nodes = connected_components(near.union(texts.select("node", of_fp("fp"))).union(similar_links(texts.where(F.size("bands") > 0), similarity)))
+    of = texts.select("node", "rep").join(nodes, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    of = written(of, "components")
+    label = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    return table.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without near-duplicates (``near_groups``): the row with the smallest id of each component stays.
 
-    Rows that repeat an id count as one document: of those, the first by text stays. So do rows with a null id.
+    Rows that repeat an id count as one document: of those, the first by text stays. So do rows with a null id. Texts are
+    shuffled only if more than ``BROADCAST_ROWS`` ids go.
     """
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col, size, radius)
-    lead = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__lead")).agg(F.count("*").alias("__n"))
-    kept = docs.join(lead, docs[id_col].eqNullSafe(lead["__lead"]))
-    many = kept.where("__n > 1").groupBy(F.col("__lead")).agg(F.min_by(F.struct(*(F.col(c) for c in names)), F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__row"))
-    return kept.where("__n = 1").select(*names).unionByName(many.select("__row.*"))
+    found = near_groups(docs, id_col, text_col, size, radius, similarity)
+    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__lead"), F.count("*").alias("__n"))
+    ids = written(ids.where(~F.col("__lead") | (F.col("__n") > 1)), "ids")
+
+    def among(which: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        which = which.select("__id")
+        return of.join(F.broadcast(which) if which.count() <= BROADCAST_ROWS else which, of[id_col].eqNullSafe(which["__id"]), how)
+
+    gone, repeated = ids.where(~F.col("__lead")), ids.where(F.col("__lead") & (F.col("__n") > 1))
+    kept = among(gone, "left_anti", docs)
+    if repeated.isEmpty():
+        return kept
+    once = among(repeated, "left_anti", kept)
+    first = F.min_by(F.struct(*(F.col(c) for c in names)), F.struct(F.col(text_col).isNull(), F.col(text_col)))
+    many = among(repeated, "left_semi", kept).groupBy(F.col(id_col).alias("__id")).agg(first.alias("__row")).select("__row.*")
+    return once.select(*names).unionByName(many)
