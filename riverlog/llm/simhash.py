@@ -43,7 +43,7 @@ ROWS = 8192
 #: Words of 64 bits in a wide fingerprint; buckets of a text, and the least shingles that a bucket's key has.
 WIDE, BANDS, LEAST = 8, 14, 3
 #: Texts of a bucket that one task compares; of those that are linked among them, so many stand for the others.
-CHUNK, KEPT = 4096, 4
+CHUNK, KEPT = 2048, 4
 #: Hot buckets that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -316,16 +316,15 @@ def wide_radius(similarity: float) -> int:
     return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
 
 
-def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j < end[i], of which the rows of ``values`` differ in ``radius`` bits at most, for any width and radius.
+def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j < end[i], of which the rows of ``values`` differ in ``radius`` bits at most, for any width and radius; some at a time.
 
     As ``near_pairs``, with counters of as many bits as the radius needs. They start so high that a count over the radius overflows.
     ``most``: (row, block of 64 rows) items at a time.
     """
     row = np.flatnonzero(end > np.arange(len(values)) + 1)
-    found = [(np.zeros(0, np.int64),) * 2]
     if not len(row):
-        return found[0]
+        return
     store = np.ascontiguousarray(np.concatenate([planes(values[:, w]) for w in range(values.shape[1])], axis=1).T)
     ones, zero, levels = U(0xFFFFFFFFFFFFFFFF), U(0), max(2, int(radius).bit_length())
     preset = (1 << levels) - 1 - radius
@@ -358,8 +357,7 @@ def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 <<
                     c = [a[keep] for a in c]
         if len(item):
             at, j = np.nonzero(np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            found.append((item[at], 64 * block[at] + j))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            yield item[at], 64 * block[at] + j
 
 
 _BUCKETS = "kind int, band int, key long, a long, b long, wide binary"
@@ -374,7 +372,10 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         values = np.frombuffer(b"".join(wide), "<u8").reshape(-1, WIDE)
         new = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(node)]])
-        root = _roots(len(node), *near_rows(values, np.repeat(ends, ends - starts), radius))
+        root = np.arange(len(node))
+        for i, j in near_rows(values, np.repeat(ends, ends - starts), radius):  # what is known is kept as stars, not as pairs
+            star = np.flatnonzero(root != np.arange(len(node)))
+            root = _roots(len(node), np.concatenate([i, star]), np.concatenate([j, root[star]]))
         linked = np.flatnonzero(root != np.arange(len(node)))
         if len(linked):
             none = pa.nulls(len(linked))

@@ -176,7 +176,7 @@ def test_wide_distances():
     end[:40] = 40
     for radius in (0, 1, 2, 3, 5, 7, 8, 100):
         want = {(i, j) for i in range(150) for j in range(i + 1, int(end[i])) if int(np.bitwise_count(values[i] ^ values[j]).sum()) <= radius}
-        assert set(zip(*(x.tolist() for x in simhash.near_rows(values, end, radius, most=20)))) == want
+        assert {p for i, j in simhash.near_rows(values, end, radius, most=20) for p in zip(i.tolist(), j.tolist())} == want
 
 
 def test_contaminated_documents_go(spark, stages):
