@@ -11,8 +11,9 @@ from .store import written
 def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long); root is the smallest node of its component.
 
-    Alternates the two published star operations, each a map-side combined ``min`` by node and a join on the
-    same key. Each round is written to the shared folder, so lineage stays short. It ends when a round changes
+    Alternates the two published star operations, each a map-side combined ``min`` by node and a join with it. A node that is
+    its neighbourhood's least keeps its links, so the hub of a large component isn't looked up: the minima of the others are
+    stored and joined to the links by plain exchanges, whose skew Spark can split. Each round is written to the shared folder, so lineage stays short. It ends when a round changes
     nothing; the number of rounds grows with the logarithm of the number of nodes. Null ends and loops drop out;
     an empty graph gives an empty result.
     """
@@ -22,8 +23,8 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if not sign[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        less = written(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u").withColumnRenamed("u", "v"), "minima")
+        large = edges.join(less, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
         small = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()

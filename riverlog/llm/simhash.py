@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = connected_components(links(reps.select("fp"), radius))
     of = reps.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     of = written(of, "components")
-    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = written(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # stored, so that Spark can split a large component
     label = of.join(least, "root").select("fp", "component_id")
     return table.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -451,7 +451,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = connected_components(near.union(texts.select("node", of_fp("fp"))).union(similar_links(texts.where(F.size("bands") > 0), similarity)))
     of = texts.select("node", "rep").join(nodes, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     of = written(of, "components")
-    label = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
+    least = written(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # stored, so that Spark can split a large component
+    label = of.join(least, "root").select("node", "component_id")
     return table.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "component_id")
 
 
