@@ -89,7 +89,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def train(bag: list[tuple[np.ndarray, np.ndarray]], y: list[str], dim: int = 16, epochs: int = 12, rate: float = 0.5, precision: float = 0.995, seed: int = 7) -> LanguageModel:
+def train(bag: list[tuple[np.ndarray, np.ndarray]], y: list[str], dim: int = 16, epochs: int = 5, rate: float = 0.5, precision: float = 0.995, seed: int = 7) -> LanguageModel:
     """Trains on four fifths of the rows and calibrates on the rest. Without rows the model knows no language."""
     langs = sorted(set(y))
     if not langs:
