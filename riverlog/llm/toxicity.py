@@ -84,11 +84,11 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _alone(docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """``rows`` without all but the first of texts that are likely copies: those with the same four min-hashes of their features."""
+def _alone(docs: list[np.ndarray], counts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """``rows`` without all but the first of texts that are likely copies: those with the same four min-hashes of (feature, count)."""
     seen, out = set(), []
     for k in rows.tolist():
-        h = docs[k].astype(np.uint64)
+        h = mix((docs[k].astype(np.uint64) << U(32)) | counts[k].astype(np.uint64))
         sign = tuple(int(mix(h * U(2) + U(2 * j + 1)).min()) for j in range(4)) if len(h) else ()
         if sign not in seen:
             seen.add(sign)
@@ -96,13 +96,13 @@ def _alone(docs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _clear(docs: list[np.ndarray], pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
+def _clear(docs: list[np.ndarray], counts: list[np.ndarray], pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
     """The features that stand out in positive texts by the likelihood-ratio statistic, at most ``FEATURES``, ascending."""
 
     def often(rows):
         return np.bincount(np.concatenate([docs[k] for k in rows] + [np.zeros(0, np.int32)]), minlength=1 << BITS).astype(np.float64)
 
-    pos, unl = _alone(docs, pos), _alone(docs, unl)
+    pos, unl = _alone(docs, counts, pos), _alone(docs, counts, unl)
     a, b = often(pos), often(unl)
     p, u, every = a / len(pos), b / len(unl), (a + b) / (len(pos) + len(unl))
 
@@ -124,7 +124,7 @@ def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, t
     if not len(pos) or not len(unl):
         rest = np.log(prior / (1 - prior))
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(1), 0.0, 1.0, float(rest))
-    buckets = _clear(docs, pos, unl)
+    buckets = _clear(docs, counts, pos, unl)
     n = len(buckets)
     x = np.zeros((len(docs), n + 1), np.float32)
     for k, ids in enumerate(docs):
