@@ -18,7 +18,7 @@ most ``radius`` bits are linked, and linked texts form components. The plan:
 Links of 64-bit fingerprints within two bits join texts that differ in very little. ``near_groups``, which removal of near-duplicates
 uses, adds links by a shingle similarity: fingerprints of ``WIDE`` x 64 bits over distinct five-word shingles differ in a share of bits
 that follows from the similarity. Texts are compared, bit-sliced as before, where they agree in the least shingles of one of ``BANDS``
-sets of orders; buckets of many texts are salted into chunks, and what represents a chunk's groups is compared in a second step.
+sets of orders; buckets of many texts are cut into chunks, of which each two are compared.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ HOT = 1024
 ROWS = 8192
 #: Words of 64 bits in a wide fingerprint; buckets of a text, and the least shingles that a bucket's key has.
 WIDE, BANDS, LEAST = 8, 14, 3
-#: Texts of a bucket that one task compares; of those that are linked among them, so many stand for the others.
-CHUNK, KEPT = 2048, 4
+#: Texts of a bucket that are compared with each other in one task.
+CHUNK = 2048
 #: Hot buckets that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -360,12 +360,8 @@ def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 <<
             yield item[at], 64 * block[at] + j
 
 
-_BUCKETS = "kind int, band int, key long, a long, b long, wide binary"
-
-
 def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """From rows (band, key, salt, node, wide) in the order of (band, key, salt): links (0, .., a, root) within buckets or chunks of them
-    and, of chunks (salt >= 0), up to ``KEPT`` members of each group that is linked there (1, band, key, node, .., wide)."""
+    """From rows (band, key, salt, node, wide) in the order of (band, key, salt): links (a, root) within buckets, or blocks of them."""
 
     def done(rows):
         band, key, salt, node, wide = rows
@@ -376,16 +372,8 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         for i, j in near_rows(values, np.repeat(ends, ends - starts), radius):  # what is known is kept as stars, not as pairs
             star = np.flatnonzero(root != np.arange(len(node)))
             root = _roots(len(node), np.concatenate([i, star]), np.concatenate([j, root[star]]))
-        linked = np.flatnonzero(root != np.arange(len(node)))
-        if len(linked):
-            none = pa.nulls(len(linked))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(linked), np.int32)), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(node[linked]), pa.array(node[root[linked]]), none.cast(pa.binary())], ["kind", "band", "key", "a", "b", "wide"])
-        if len(part := np.flatnonzero(salt >= 0)):
-            part = part[np.argsort(root[part], kind="stable")]
-            group = np.concatenate([[True], root[part][1:] != root[part][:-1]])
-            place = np.arange(len(part)) - np.maximum.accumulate(np.where(group, np.arange(len(part)), 0))
-            part = part[place < KEPT]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(band[part]), pa.array(key[part]), pa.array(node[part]), pa.nulls(len(part)).cast(pa.int64()), pa.array([wide[k] for k in part.tolist()], pa.binary())], ["kind", "band", "key", "a", "b", "wide"])
+        if len(linked := np.flatnonzero(root != np.arange(len(node)))):
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
     held = None
     for batch in batches:
@@ -402,27 +390,28 @@ def _compare_wide(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         yield from done(held)
 
 
+def in_blocks(rows: DataFrame, by: list[str], hot: DataFrame, most: int) -> DataFrame:
+    """``rows`` (with a column node) with a salt: -1, but for keys of ``hot`` (by, n: their sizes, over ``most``), whose rows are cut
+    into chunks of half of ``most``. Each two chunks of a key are one salt, so any two of its rows meet in one at least."""
+    if not (keys := hot.count()):
+        return rows.withColumn("salt", F.lit(-1).cast("long"))
+    chunks = F.ceil(2 * F.col("n") / most)
+    rest = F.array(F.lit(-1).cast("long"))
+    other = F.explode(F.when(F.col("n").isNotNull(), F.sequence(F.lit(0).cast("long"), chunks - 1)).otherwise(rest))
+    salted = rows.join(F.broadcast(hot) if keys <= BROADCAST_ROWS else hot, by, "left")
+    salted = salted.select(*rows.columns, chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).alias("own"), other.alias("other"))
+    salt = F.coalesce(F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"), F.lit(-1))
+    return salted.where(F.coalesce(F.col("own") != F.col("other"), F.lit(True))).select(*rows.columns, salt.cast("long").alias("salt"))
+
+
 def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket."""
-    spark = texts.sparkSession
-    n, radius = int(spark.conf.get("spark.sql.shuffle.partitions")), wide_radius(similarity)
-    rows = texts.select("node", F.posexplode("bands").alias("band", "key"))
-    hot = written(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
-    small = hot.count()
-    rows = texts.select("node", "wide", F.posexplode("bands").alias("band", "key"))
-    if small:
-        salted = rows.join(F.broadcast(hot) if small <= BROADCAST_ROWS else hot, ["band", "key"], "left")
-        salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK))).otherwise(-1)
-        rows = salted.select("node", "wide", "band", "key", salt.cast("long").alias("salt"))
-    else:
-        rows = rows.withColumn("salt", F.lit(-1).cast("long"))
-    run = lambda df, *by: df.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(lambda it: _compare_wide(it, radius), _BUCKETS)
-    found = written(run(rows, "band", "key", "salt"), "similar")
-    links = found.where("kind = 0").select("a", "b")
-    if small:
-        again = found.where("kind = 1").select("band", "key", F.lit(-1).cast("long").alias("salt"), F.col("a").alias("node"), "wide")
-        links = links.union(run(again, "band", "key", "salt").where("kind = 0").select("a", "b"))
-    return links
+    """Links (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket or block of one."""
+    n, radius = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), wide_radius(similarity)
+    keys = texts.select("node", F.posexplode("bands").alias("band", "key"))
+    hot = written(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
+    by = ["band", "key", "salt"]
+    rows = in_blocks(texts.select("node", "wide", F.posexplode("bands").alias("band", "key")), by[:2], hot, CHUNK)
+    return written(rows.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(lambda it: _compare_wide(it, radius), "a long, b long"), "similar")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:

@@ -170,6 +170,27 @@ def test_near_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """A bucket of many chunks: eight dense groups of 40 texts, some of which are joined by one text of either only."""
+    monkeypatch.setattr(simhash, "CHUNK", 48)
+    r, flip = np.random.default_rng(3), np.zeros((9, 512), np.uint8)
+    for k in range(1, 9):
+        flip[k] = flip[k - 1]
+        flip[k, r.permutation(512)[:150]] ^= 1
+    bits = np.repeat(flip[:8], 40, axis=0)
+    for k, x in enumerate(bits):
+        x[r.permutation(512)[:3]] ^= 1
+        if k % 40 == 20 or (k % 40 == 30 and k > 40):  # some of the way to the next group, to the one before
+            to = flip[k // 40 + 1] if k % 40 == 20 else flip[k // 40 - 1]
+            x[np.flatnonzero(x != to)[:: 3 if k % 40 == 20 else -3][:50]] ^= 1
+    wide = np.packbits(bits, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    near = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2) <= simhash.wide_radius(0.8)
+    want = simhash._roots(len(wide), *np.nonzero(near))
+    texts = spark.createDataFrame([(k, w.astype("<u8").tobytes(), [7]) for k, w in enumerate(wide)], "node long, wide binary, bands array<long>")
+    found = np.array([(x["a"], x["b"]) for x in simhash.similar_links(texts).collect()])
+    assert len(set(want.tolist())) < 8 and (simhash._roots(len(wide), found[:, 0], found[:, 1]) == want).all()
+
+
 def test_wide_distances():
     values = np.random.default_rng(0).integers(0, 4, (150, 8), dtype=np.uint64)
     end = np.full(150, 150)
