@@ -16,15 +16,17 @@ most ``radius`` bits are linked, and linked texts form components. The plan:
 6. Components of the links are found by distributed star operations (``graph``).
 
 Links of 64-bit fingerprints within two bits join texts that differ in very little. ``near_groups``, which removal of near-duplicates
-uses, adds links by a shingle similarity: fingerprints of ``WIDE`` x 64 bits over distinct five-word shingles differ in a share of bits
-that follows from the similarity. Texts are compared, bit-sliced as before, where they agree in the least shingles of one of ``BANDS``
-sets of orders; buckets of many texts are cut into chunks, of which each two are compared.
+uses, adds links by a shingle similarity, which is exact. Fingerprints of ``WIDE`` x 64 bits over distinct five-word shingles differ in a
+share of bits that follows from the similarity; they only find candidates. They are compared, bit-sliced as before, where texts agree in
+the least shingles of one of ``BANDS`` sets of orders; buckets of many texts are cut into chunks, of which each two are compared. The
+shingles of candidates are then read again, and all texts of a component of candidates are compared by them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +46,8 @@ ROWS = 8192
 WIDE, BANDS, LEAST = 8, 14, 3
 #: Texts of a bucket that are compared with each other in one task.
 CHUNK = 2048
+#: Shingles of texts that are compared with each other exactly in one task.
+SHINGLES = 1 << 20
 #: Hot buckets that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -310,10 +314,25 @@ def band_keys(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _differ(a: int, b: int, both: int) -> float:
+    """The chance that a bit differs in the fingerprints of sets of a and b shingles, of which ``both`` are common."""
+    tail = lambda n, least: sum(math.comb(n, k) for k in range(max(least, 0), n + 1)) / 2**n
+    out = 0.0
+    for k in range(both + 1):
+        x, y = tail(a - both, a // 2 + 1 - k), tail(b - both, b // 2 + 1 - k)
+        out += math.comb(both, k) / 2**both * (x + y - 2 * x * y)
+    return out
+
+
+@cache
 def wide_radius(similarity: float) -> int:
-    """The number of bits in which wide fingerprints of texts with that share of common shingles differ, with a standard deviation's room."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of equal size
-    return int(64 * WIDE * p + math.sqrt(64 * WIDE * p * (1 - p)))
+    """The number of bits beyond which wide fingerprints of texts with that share of common shingles hardly ever differ: that of the sizes
+    of sets at which most bits differ (small ones, as ties count as zero), and three standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi  # large sets of equal size
+    for a in range(1, 41):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            p = max(p, _differ(a, b, math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)))
+    return int(64 * WIDE * p + 3 * math.sqrt(64 * WIDE * p * (1 - p)))
 
 
 def near_rows(values: np.ndarray, end: np.ndarray, radius: int, most: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -405,7 +424,8 @@ def in_blocks(rows: DataFrame, by: list[str], hot: DataFrame, most: int) -> Data
 
 
 def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket or block of one."""
+    """Candidates (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket or block of
+    one: their components hold all pairs of a bucket that are within the radius."""
     n, radius = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), wide_radius(similarity)
     keys = texts.select("node", F.posexplode("bands").alias("band", "key"))
     hot = written(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
@@ -414,30 +434,125 @@ def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     return written(rows.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(lambda it: _compare_wide(it, radius), "a long, b long"), "similar")
 
 
+def similar_roots(ids: np.ndarray, off: np.ndarray, similarity: float, mark: np.ndarray) -> np.ndarray:
+    """For each of the sets ids[off[k] : off[k + 1]], none empty, the first one reachable over pairs that share ``similarity`` or more.
+
+    Each set is compared only with those that nothing has reached yet. ``mark`` has a false for each id, and is left so.
+    """
+    size, root = np.diff(off), np.arange(len(off) - 1)
+    rest, rest_ids, rest_off = root[1:].copy(), ids[off[1] :], off[1:] - off[1]
+    wait, first = [0], 0
+    while len(rest):
+        if not wait:
+            first = int(rest[0])
+            wait, rest, rest_ids, rest_off = [first], rest[1:], rest_ids[rest_off[1] :], rest_off[1:] - rest_off[1]
+            continue
+        k = wait.pop()
+        mine = ids[off[k] : off[k + 1]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[rest_ids], rest_off[:-1], dtype=np.int64)
+        mark[mine] = False
+        near = both / (len(mine) + size[rest] - both) >= similarity
+        if near.any():
+            root[rest[near]] = first
+            wait += rest[near].tolist()
+            rest_ids, rest = rest_ids[np.repeat(~near, size[rest])], rest[~near]
+            rest_off = np.concatenate([[0], np.cumsum(size[rest])])
+    return root
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """From rows (group, salt, node, shingles) in the order of (group, salt, node): links (a, root) of texts of a group, or block of one, by
+    their shingles."""
+
+    def done(group, salt, node, raw):
+        new = np.ones(len(node), bool)
+        new[1:] = (group[1:] != group[:-1]) | (salt[1:] != salt[:-1])
+        once = new.copy()
+        once[1:] |= node[1:] != node[:-1]  # rows that repeat a text
+        starts = np.append(np.flatnonzero(new[once]), once.sum())
+        node, raw = node[once], raw[once]
+        off = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        every, ids = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
+        root, mark = np.arange(len(node)), np.zeros(len(every), bool)
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            if hi - lo > 1:
+                root[lo:hi] = lo + similar_roots(ids[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], similarity, mark)
+        if len(linked := np.flatnonzero(root != np.arange(len(node)))):
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
+
+    held, total = None, 0
+    for batch in batches:
+        got = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("group", "salt", "node")] + [np.array([*column(batch, "shingles").to_pylist(), None], object)[:-1]]
+        total += sum(map(len, got[3]))
+        held = got if held is None else [np.concatenate(x) for x in zip(held, got, strict=True)]
+        if total < 8 * SHINGLES:
+            continue
+        same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+        if not same.all():
+            cut = int(np.flatnonzero(~same)[-1]) + 1
+            yield from done(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+            total = sum(map(len, held[3]))
+    if held is not None and len(held[2]):
+        yield from done(*held)
+
+
+def _shingled(block: Block, size: int, words: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Distinct shingles of ``words`` words with offsets; fingerprints over ``size`` words, and hashes of the sets of shingles."""
+    hashes, off = distinct_shingles(block, words)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)])
+    return hashes, off, pa.array(fingerprints(block, size).view(np.int64)), pa.array((total[off[1:]] - total[off[:-1]]).view(np.int64))
+
+
+def confirmed(rows: DataFrame, texts: DataFrame, candidates: DataFrame, similarity: float, size: int, words: int) -> DataFrame:
+    """Links (a, b) of texts (node, rep) that share ``similarity`` or more of their distinct shingles, among those that ``candidates`` (a, b)
+    put in one component. The shingles of these are made anew from ``rows`` (id, text)."""
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            hashes, off, fp, own = _shingled(Block(column(b, "text")), size, words)
+            raw = hashes.astype("<u8")
+            sets = pa.array([raw[x:y].tobytes() for x, y in zip(off, off[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([fp, own, pa.array(np.diff(off).astype(np.int64)), sets], ["fp", "own", "len", "shingles"])
+
+    linked = written(connected_components(candidates).withColumnRenamed("root", "group"), "candidates")
+    ids = written(texts.join(linked, "node").select(F.col("rep").alias("__id")).distinct(), "ids")
+    some = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, rows["id"].eqNullSafe(ids["__id"]), "left_semi")
+    sets = some.mapInArrow(run, "fp long, own long, len long, shingles binary").withColumn("node", F.xxhash64("fp", "own"))
+    sets = written(sets.join(linked, "node").select("group", "node", "len", "shingles"), "sets")
+    hot = written(sets.groupBy("group").agg(F.sum("len").alias("n")).where(F.col("n") > SHINGLES), "hot")
+    by = ["group", "salt"]
+    blocks = in_blocks(sets.select("group", "node", "shingles"), by[:1], hot, SHINGLES)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(n, *by).sortWithinPartitions(*by, "node")
+    return written(blocks.mapInArrow(lambda it: _confirm(it, similarity), "a long, b long"), "confirmed")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """(id, component_id) of each row of ``docs``: groups by the links of ``near_duplicates`` and those of texts that share
-    ``similarity`` or more of their distinct shingles of ``words`` words, as wide fingerprints estimate it. Nulls, empty texts and
-    repeated rows are as there."""
+    ``similarity`` or more of their distinct shingles of ``words`` words. Nulls, empty texts and repeated rows are as there."""
     tune(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in pieces(batches, "text"):
             block = Block(column(b, "text"))
-            hashes, off = distinct_shingles(block, words)
+            hashes, off, fp, own = _shingled(block, size, words)
             wide = wide_fingerprints(hashes, off).astype("<u8")
             full = np.diff(off) > 0
             sizes = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(sizes), pa.array(band_keys(hashes, off).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(fingerprints(block, size).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary()), bands], ["id", "fp", "wide", "bands"])
+            yield pa.RecordBatch.from_arrays([column(b, "id"), fp, own, pa.array([x.tobytes() for x in wide], pa.binary()), bands], ["id", "fp", "own", "wide", "bands"])
 
     rows = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table = rows.mapInArrow(run, f"id {kind}, fp long, wide binary, bands array<long>").withColumn("node", F.xxhash64("fp", "wide"))
+    table = rows.mapInArrow(run, f"id {kind}, fp long, own long, wide binary, bands array<long>").withColumn("node", F.xxhash64("fp", "own"))
     table = written(table, "fingerprints")
     texts = written(table.groupBy("node").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "texts")
     of_fp = lambda c: F.xxhash64(F.lit("fp"), F.col(c))  # noqa: E731  a node for each short fingerprint
     near = links(texts.select("fp").distinct(), radius).select(of_fp("a").alias("a"), of_fp("b").alias("b"))
-    nodes = connected_components(near.union(texts.select("node", of_fp("fp"))).union(similar_links(texts.where(F.size("bands") > 0), similarity)))
+    similar = confirmed(rows, texts, similar_links(texts.where(F.size("bands") > 0), similarity), similarity, size, words)
+    nodes = connected_components(near.union(texts.select("node", of_fp("fp"))).union(similar))
     of = texts.select("node", "rep").join(nodes, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     of = written(of, "components")
     least = written(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # stored, so that Spark can split a large component

@@ -191,6 +191,43 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert len(set(want.tolist())) < 8 and (simhash._roots(len(wide), found[:, 0], found[:, 1]) == want).all()
 
 
+def test_links_are_those_of_the_exact_similarity(spark):
+    """Pairs with a share of 0.78 to 0.82 of common shingles, of texts of any length: one group at 0.8 or more only."""
+    r, rows, want = random.Random(8), [], {}
+    for k in range(400):
+        n = r.choice([12, 15, 16, 27, 40, 90, 300])
+        w = [f"{k}w{j}" for j in range(n + 4)]
+        longer = [*w, *(f"{k}x{j}" for j in range(max(1, round(n * r.uniform(0.2, 0.3)))))]
+        if n >= 27 and k % 2:  # both with shingles of their own
+            extra = round(n * r.uniform(0.1, 0.14))
+            longer, w = [*w, *(f"{k}x{j}" for j in range(extra))], [*w, *(f"{k}y{j}" for j in range(extra))]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(longer))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        share = len(a & b) / len(a | b)
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if share >= 0.8 or (fingerprint(rows[-2][1]) ^ fingerprint(rows[-1][1])).bit_count() <= 2 else 2 * k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = sum(want[2 * k] == want[2 * k + 1] for k in range(400))
+    assert 80 < linked < 320
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_groups(docs).collect()} == want
+
+
+@pytest.mark.parametrize("most", [1 << 20, 9000])
+def test_copies_of_a_template_are_one_group(spark, monkeypatch, most):
+    """All have 0.8 or more of the template, most less of each other; in one block or in many."""
+    monkeypatch.setattr(simhash, "CHUNK", 30)
+    monkeypatch.setattr(simhash, "SHINGLES", most)
+    r = random.Random(8)
+    template = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(template))]
+    for k in range(1, 61):
+        w = list(template)
+        for at in range(6, 350, 49):
+            w[at + r.randrange(40)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["component_id"] for x in simhash.near_groups(docs).collect()} == {0}
+
+
 def test_wide_distances():
     values = np.random.default_rng(0).integers(0, 4, (150, 8), dtype=np.uint64)
     end = np.full(150, 150)
