@@ -66,10 +66,12 @@ def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         for b in pieces(batches, "html"):
-            words = Block(column(b, "html")).words(ALPHA)
-            depth = np.cumsum((words.data == 60).astype(np.int32) - (words.data == 62))
+            block = Block(column(b, "html"))
+            words = block.words(ALPHA)
+            depth = np.concatenate([[0], np.cumsum((words.data == 60).astype(np.int32) - (words.data == 62))])
+            before = np.repeat(depth[block.off[:-1]], words.count)  # of the pages before
             size = words.end - words.start
-            seen = np.flatnonzero((size >= 2) & (size <= LONGEST) & (depth[words.start] <= 0 if words.n else True))
+            seen = np.flatnonzero((size >= 2) & (size <= LONGEST) & (depth[words.start] <= before))
             word, c = np.unique(words.hash[seen], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["word", "c"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riverlog.llm import brown, decontaminate, graph, joins, langid, packing, quality, queries, simhash, store, tokenfiles, toxicity, urlfilter, wordpiece
+from riverlog.llm.textbytes import word_hash
 
 from .test_kernels import PATH, bench_words, fingerprint, greedy, quality_counts
 
@@ -267,6 +268,14 @@ def test_segmentation(spark):
     assert {r["name"]: r["words"] for r in urlfilter.segmented(names, counts).collect()} == {"riverstone": ["river", "stone"], "étangriver": ["étang", "river"], "zzqy": ["zzqy"], "spamfarm": ["spam", "farm"]}
 
 
+def test_page_words_start_anew_with_each_page(spark):
+    """A stray < or > in a page changes nothing in the pages after it."""
+    pages = ["<p>river</p>", "one < two", "<p class=wide>stone</p>", "over > <b>", "<p class=wide>delta</p>"]
+    counts = {r["word"]: r["c"] for r in urlfilter.page_words(spark.createDataFrame([(x,) for x in pages], "html string").coalesce(1)).collect()}
+    of = lambda w: counts.get(int(np.uint64(word_hash(w)).astype(np.int64)), 0)
+    assert [of(w) for w in (b"river", b"one", b"stone", b"delta", b"over")] == [1] * 5 and [of(w) for w in (b"two", b"class", b"wide")] == [0] * 3
+
+
 def test_lookup_joins_hot_and_cold_keys(spark):
     left = store.written(spark.range(3000).select(F.when(F.col("id") < 1000, 1).when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("k"), "id"), "left")
     right = store.written(spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).union(spark.createDataFrame([(1, -1)], "k long, v long")), "right")
