@@ -1,6 +1,6 @@
 """Token files: a wavelet matrix for each shard.
 
-Documents go to shards in the order of their ids (range partitions), are encoded there, and each shard becomes one file:
+Texts are encoded where they are read, their ids go to shards in the order of documents (range partitions), and each shard becomes one file:
 
     b"RLWM0001" | blocks | footer (zstd-compressed JSON) | footer's length (8 bytes) | b"RLWM0001"
 
@@ -33,6 +33,8 @@ from .textbytes import U
 
 MAGIC = b"RLWM0001"
 BLOCK = 1 << 20
+#: Tokens of a shard that its ranges aim at, unless there are fewer shards than shuffle partitions.
+SHARD = 1 << 25
 _SAMPLE = 512
 
 
@@ -233,16 +235,35 @@ def open_shard(uri: str) -> Shard:
     return Shard(where.open_input_file(path))
 
 
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bits: int = 16) -> DataFrame:
+    """The stored (id, row, n, ids) of all rows: ids, with the end, are little-endian of 16 or 32 bits. Texts are encoded where they are
+    read; only ids are shuffled later. The row number makes the order total and is the same on each attempt."""
+    tune(docs.sparkSession)
+    kind = "<u2" if bits <= 16 else "<u4"
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            ids, off = encode_texts(path, column(b, "text"))
+            if len(ids) and int(ids.max()) >> bits:
+                raise ValueError(f"the tokenizer has ids of over {bits} bits")
+            every, end = np.insert(ids, off[1:], end_id).astype(kind), off + np.arange(len(off))
+            raw = pa.array([every[x:y].tobytes() for x, y in zip(end, end[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "row"), pa.array(np.diff(end)), raw], ["id", "row", "n", "ids"])
+
+    chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return written(chosen.mapInArrow(run, "id long, row long, n long, ids binary"), "ids")
+
+
 def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, bits: int = 16) -> DataFrame:
     """Writes all rows of ``docs`` in ascending order of id to shard files below the URI ``folder``, and returns the table of shards
     (shard, path, n_docs, n_tokens), in whose order the documents are. Ids are integers; null ids come first. Rows of one id
-    follow each other in the order of the input, so that a frequent id can be spread over shards. Null texts are empty."""
-    tune(docs.sparkSession)
+    follow each other in the order of the input, so that a frequent id can be spread over shards. Null texts are empty.
+    Without rows there are no shards or empty ones. The number of shards grows with the tokens: about ``SHARD`` each at most."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the row number makes the order total and is the same on each attempt
-    chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    chosen = chosen.repartitionByRange(n, F.col("id").asc_nulls_first(), "row").sortWithinPartitions(F.col("id").asc_nulls_first(), "row")
+    ids, kind = encoded(docs, path, id_col, text_col, end_id, bits), "<u2" if bits <= 16 else "<u4"
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    ids = ids.repartitionByRange(n, F.col("id").asc_nulls_first(), "row").sortWithinPartitions(F.col("id").asc_nulls_first(), "row")
 
     def run(batches):
         from pyspark import TaskContext
@@ -254,17 +275,14 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
         n_docs = 0
         with where.open_output_stream(f"{base}/{name}") as stream:
             out = Writer(stream, bits)
-            for b in pieces(batches, "text"):
-                ids, off = encode_texts(path, column(b, "text"))
-                if len(ids) and int(ids.max()) >> bits:
-                    raise ValueError(f"the tokenizer has ids of over {bits} bits")
-                every = np.insert(ids, off[1:], end_id)
-                out.add(column(b, "id").to_pylist(), np.diff(off) + 1, every)
+            for b in pieces(batches, "ids"):
+                raw = np.frombuffer(b"".join(x.as_buffer() for x in column(b, "ids")), kind)
+                out.add(column(b, "id").to_pylist(), column(b, "n").to_numpy(), raw)
                 n_docs += b.num_rows
             n_tokens = out.close()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    return written(chosen.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shards")
+    return written(ids.select("id", "n", "ids").mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "shards")
 
 
 def read_files(spark, shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
