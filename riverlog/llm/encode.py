@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from .textbytes import Block, U, spans_hash
 
 #: Units that a worker's table holds at most; then it starts anew.
-UNITS = 750_000
+UNITS = 1_500_000
 
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _every = np.arange(256)
@@ -35,7 +35,7 @@ _rare = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf
 class Table:
     """Arrays of ids by 64-bit key, in open-addressed numpy arrays."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 22):
         self.bits = bits
         self.clear()
 

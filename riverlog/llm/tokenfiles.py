@@ -32,7 +32,7 @@ from .store import column, narrowed, new_dir, pieces, tune, written
 from .textbytes import U
 
 MAGIC = b"RLWM0001"
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Tokens of a shard that its ranges aim at, unless there are fewer shards than shuffle partitions.
 SHARD = 1 << 25
 _SAMPLE = 512
