@@ -31,16 +31,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """One document of each near-duplicate group, that with the smallest id."""
     return simhash.one_of_each(narrowed(docs, *COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a 10-word window of a benchmark item. Ids that the stage before made unique are what rows are known by."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    dirty = written(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    docs = narrowed(docs, *COLUMNS)
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    """Documents without a 10-word window of a benchmark item. The verdict depends on the text alone, so rows are known by two hashes of it:
+    an id may be null or repeated."""
+    keyed = narrowed(docs, *COLUMNS).withColumn("key", F.concat_ws(":", F.xxhash64("text").cast("string"), F.xxhash64(F.lit(1), "text", F.length("text")).cast("string")))
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
+    dirty = written(found.where("contaminated").select("key").distinct(), "contaminated")
+    return keyed.join(dirty, "key", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

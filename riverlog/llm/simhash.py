@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .joins import lookup
 from .store import column, narrowed, pieces, tune, written
 from .textbytes import NOT_SPACE, Block, U, mix, xxh64
 
@@ -275,8 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = reps.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     of = written(of, "components")
     least = written(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # stored, so that Spark can split a large component
-    label = of.join(least, "root").select("fp", "component_id")
-    return table.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = written(of.join(least, "root").select("fp", "component_id"), "labels")
+    return lookup(table, label, "fp", how="inner").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_shingles(block: Block, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -498,29 +499,38 @@ def _confirm(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
         yield from done(*held)
 
 
-def _shingled(block: Block, size: int, words: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """Distinct shingles of ``words`` words with offsets; fingerprints over ``size`` words, and hashes of the sets of shingles."""
+#: What tells texts apart: the short fingerprint and two sums over the set of shingles.
+TEXT = ["fp", "own", "more"]
+
+
+def _shingled(block: Block, size: int, words: int) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """Distinct shingles of ``words`` words with offsets; the columns ``TEXT``."""
     hashes, off = distinct_shingles(block, words)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)])
-    return hashes, off, pa.array(fingerprints(block, size).view(np.int64)), pa.array((total[off[1:]] - total[off[:-1]]).view(np.int64))
+
+    def total(h):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+        return pa.array((sums[off[1:]] - sums[off[:-1]]).view(np.int64))
+
+    return hashes, off, [pa.array(fingerprints(block, size).view(np.int64)), total(mix(hashes)), total(mix(hashes * U(5) + U(1)))]
 
 
 def confirmed(rows: DataFrame, texts: DataFrame, candidates: DataFrame, similarity: float, size: int, words: int) -> DataFrame:
-    """Links (a, b) of texts (node, rep) that share ``similarity`` or more of their distinct shingles, among those that ``candidates`` (a, b)
-    put in one component. The shingles of these are made anew from ``rows`` (id, text)."""
+    """Links (a, b) of texts (node, rep and ``TEXT``) that share ``similarity`` or more of their distinct shingles, among those that
+    ``candidates`` (a, b) put in one component. The shingles of these are made anew from ``rows`` (id, text)."""
 
     def run(batches):
         for b in pieces(batches, "text"):
-            hashes, off, fp, own = _shingled(Block(column(b, "text")), size, words)
+            hashes, off, key = _shingled(Block(column(b, "text")), size, words)
             raw = hashes.astype("<u8")
             sets = pa.array([raw[x:y].tobytes() for x, y in zip(off, off[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([fp, own, pa.array(np.diff(off).astype(np.int64)), sets], ["fp", "own", "len", "shingles"])
+            yield pa.RecordBatch.from_arrays([*key, pa.array(np.diff(off).astype(np.int64)), sets], [*TEXT, "len", "shingles"])
 
-    linked = written(connected_components(candidates).withColumnRenamed("root", "group"), "candidates")
-    ids = written(texts.join(linked, "node").select(F.col("rep").alias("__id")).distinct(), "ids")
+    linked = connected_components(candidates).withColumnRenamed("root", "group")
+    linked = written(texts.select("node", "rep", *TEXT).join(linked, "node"), "candidates")
+    ids = written(linked.select(F.col("rep").alias("__id")).distinct(), "ids")
     some = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, rows["id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = some.mapInArrow(run, "fp long, own long, len long, shingles binary").withColumn("node", F.xxhash64("fp", "own"))
-    sets = written(sets.join(linked, "node").select("group", "node", "len", "shingles"), "sets")
+    sets = some.select("text").mapInArrow(run, "fp long, own long, more long, len long, shingles binary")
+    sets = written(sets.join(linked, TEXT).select("group", "node", "len", "shingles"), "sets")
     hot = written(sets.groupBy("group").agg(F.sum("len").alias("n")).where(F.col("n") > SHINGLES), "hot")
     by = ["group", "salt"]
     blocks = in_blocks(sets.select("group", "node", "shingles"), by[:1], hot, SHINGLES)
@@ -529,57 +539,80 @@ def confirmed(rows: DataFrame, texts: DataFrame, candidates: DataFrame, similari
     return written(blocks.mapInArrow(lambda it: _confirm(it, similarity), "a long, b long"), "confirmed")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(id, component_id) of each row of ``docs``: groups by the links of ``near_duplicates`` and those of texts that share
-    ``similarity`` or more of their distinct shingles of ``words`` words. Nulls, empty texts and repeated rows are as there."""
-    tune(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+def _roots_of_rows(rows: DataFrame, extra: list[str], size: int, radius: int, similarity: float, words: int) -> DataFrame:
+    """(id, *extra, root) of all ``rows`` (id, text, *extra), stored. Rows with an equal root are of one group.
+
+    A node is a number for each distinct text, so no two texts meet by chance. Texts of one short fingerprint are linked to the first
+    of them; links between fingerprints are links between those.
+    """
 
     def run(batches):
         for b in pieces(batches, "text"):
             block = Block(column(b, "text"))
-            hashes, off, fp, own = _shingled(block, size, words)
+            hashes, off, key = _shingled(block, size, words)
             wide = wide_fingerprints(hashes, off).astype("<u8")
             full = np.diff(off) > 0
             sizes = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(sizes), pa.array(band_keys(hashes, off).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([column(b, "id"), fp, own, pa.array([x.tobytes() for x in wide], pa.binary()), bands], ["id", "fp", "own", "wide", "bands"])
+            mine = [column(b, c) for c in ("id", *extra)]
+            yield pa.RecordBatch.from_arrays([*mine, *key, pa.array([x.tobytes() for x in wide], pa.binary()), bands], ["id", *extra, *TEXT, "wide", "bands"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("id", *extra))
+    table = written(rows.select("id", "text", *extra).mapInArrow(run, f"{kinds}, fp long, own long, more long, wide binary, bands array<long>"), "fingerprints")
+    texts = table.groupBy(*TEXT).agg(F.min("id").alias("rep"), F.first("wide").alias("wide"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    lead = written(texts.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    near = links(lead.select("fp"), radius)
+    near = near.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = lookup(texts.select("fp", "node"), lead, "fp", how="inner").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    similar = confirmed(rows, texts, similar_links(texts.where(F.size("bands") > 0), similarity), similarity, size, words)
+    nodes = connected_components(near.union(same).union(similar))
+    of = written(texts.select(*TEXT, "node").join(nodes, "node", "left").select(*TEXT, F.coalesce("root", "node").alias("root")), "components")
+    return written(lookup(table.select("id", *extra, *TEXT), of, TEXT, how="inner").select("id", *extra, "root"), "roots")
+
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """(id, component_id) of each row of ``docs``: groups by the links of ``near_duplicates`` and those of texts that share
+    ``similarity`` or more of their distinct shingles of ``words`` words. Nulls, empty texts and repeated rows are as there."""
+    tune(docs.sparkSession)
     rows = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table = rows.mapInArrow(run, f"id {kind}, fp long, own long, wide binary, bands array<long>").withColumn("node", F.xxhash64("fp", "own"))
-    table = written(table, "fingerprints")
-    texts = written(table.groupBy("node").agg(F.min("id").alias("rep"), F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.first("bands").alias("bands")), "texts")
-    of_fp = lambda c: F.xxhash64(F.lit("fp"), F.col(c))  # noqa: E731  a node for each short fingerprint
-    near = links(texts.select("fp").distinct(), radius).select(of_fp("a").alias("a"), of_fp("b").alias("b"))
-    similar = confirmed(rows, texts, similar_links(texts.where(F.size("bands") > 0), similarity), similarity, size, words)
-    nodes = connected_components(near.union(texts.select("node", of_fp("fp"))).union(similar))
-    of = texts.select("node", "rep").join(nodes, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    of = written(of, "components")
-    least = written(of.groupBy("root").agg(F.min("rep").alias("component_id")), "least")  # stored, so that Spark can split a large component
-    label = of.join(least, "root").select("node", "component_id")
-    return table.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "component_id")
+    of = _roots_of_rows(rows, [], size, radius, similarity, words)
+    least = written(of.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    return lookup(of, least, "root", how="inner").select(F.col("id").alias(id_col), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near-duplicates (``near_groups``): the row with the smallest id of each component stays.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """``docs`` without near-duplicates (``near_groups``): one row of each component stays, that with the smallest id.
 
-    Rows that repeat an id count as one document: of those, the first by text stays. So do rows with a null id. Texts are
-    shuffled only if more than ``BROADCAST_ROWS`` ids go.
+    Rows are known by their id and text, not by the id alone: rows of one id, or of none, with texts that aren't near-duplicates all stay.
+    A null id comes last; of equal ids the text with the smaller hash stays, and of rows that repeat an id and a text
+    the first by its other columns. Other columns of ``docs`` may have any names. Texts are shuffled only if more than
+    ``BROADCAST_ROWS`` rows go. No rows give no rows.
     """
+    tune(docs.sparkSession)
     names = docs.columns
-    found = near_groups(docs, id_col, text_col, size, radius, similarity)
-    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__lead"), F.count("*").alias("__n"))
-    ids = written(ids.where(~F.col("__lead") | (F.col("__n") > 1)), "ids")
+    at = docs.toDF(*(f"_{k}" for k in range(len(names))))
+    the_id, text = (F.col(f"_{names.index(c)}") for c in (id_col, text_col))
+    # two hashes: 128 bits tell texts apart
+    keyed = at.select("*", the_id.alias("__id"), F.xxhash64(text).alias("__h"), F.xxhash64(F.lit(1), text, F.length(text)).alias("__i"))
+    rows = keyed.select(F.col("__id").alias("id"), text.alias("text"), F.col("__h").alias("h"), F.col("__i").alias("i"))
+    of = _roots_of_rows(rows, ["h", "i"], size, radius, similarity, words)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "h", "i")
+    lead = of.groupBy("root").agg(F.min(first).alias("k")).select("k.id", "k.h", "k.i")
+    every = written(of.groupBy("id", "h", "i").agg(F.count("*").alias("n")), "keys")
+    lead = written(lead, "leads")
+    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["h"] == y["h"]) & (x["i"] == y["i"])
+    gone = written(every.join(lead, same(every, lead), "left_anti"), "gone")
+    repeated = written(every.where("n > 1").join(lead, same(every.where("n > 1"), lead), "left_semi"), "repeated")
 
     def among(which: DataFrame, how: str, of: DataFrame) -> DataFrame:
-        which = which.select("__id")
-        return of.join(F.broadcast(which) if which.count() <= BROADCAST_ROWS else which, of[id_col].eqNullSafe(which["__id"]), how)
-
-    gone, repeated = ids.where(~F.col("__lead")), ids.where(F.col("__lead") & (F.col("__n") > 1))
-    kept = among(gone, "left_anti", docs)
-    if repeated.isEmpty():
-        return kept
-    once = among(repeated, "left_anti", kept)
-    first = F.min_by(F.struct(*(F.col(c) for c in names)), F.struct(F.col(text_col).isNull(), F.col(text_col)))
-    many = among(repeated, "left_semi", kept).groupBy(F.col(id_col).alias("__id")).agg(first.alias("__row")).select("__row.*")
-    return once.select(*names).unionByName(many)
+        which = which.select("id", "h", "i")
+        match = of["__id"].eqNullSafe(which["id"]) & (of["__h"] == which["h"]) & (of["__i"] == which["i"])
+        return of.join(F.broadcast(which) if which.count() <= BROADCAST_ROWS else which, match, how)
+
+    kept = among(gone, "left_anti", keyed)
+    if not repeated.isEmpty():
+        once = among(repeated, "left_anti", kept)
+        many = among(repeated, "left_semi", kept).groupBy("__id", "__h", "__i").agg(F.min_by(F.struct(*at.columns), F.to_json(F.struct(*at.columns))).alias("__row")).select("__row.*")
+        kept = once.select(*at.columns).unionByName(many)
+    return kept.select(*at.columns).toDF(*names)

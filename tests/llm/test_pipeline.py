@@ -170,6 +170,18 @@ def test_near_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_knows_rows_by_id_and_text(spark):
+    """Rows of one id, or of none, with different texts stay; copies and repeated rows don't, whatever their other columns are."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a, 1), (None, b, 2), (None, c, 3), (5, d, 4), (5, "other " + a[::-1], 5), (5, d, 4), (5, d, 6), (7, d + " more", 7), (8, b, 8), (9, None, 9), (9, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").select("doc_id", "text", "n", F.lit(0).alias("TEXT"), F.lit("").alias("node"), F.create_map(F.lit(1), F.lit(2)).alias("h"))
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted((r[2], r[0], r[1]) for r in out.collect())
+    assert [x[0] for x in got] in ([1, 3, 4, 5, 8, 9], [1, 3, 4, 5, 8, 10])
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """A bucket of many chunks: eight dense groups of 40 texts, some of which are joined by one text of either only."""
     monkeypatch.setattr(simhash, "CHUNK", 48)
