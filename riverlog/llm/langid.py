@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import choose, place, sampled, stored_places
 from .store import column, narrowed, pieces, tune
 from .textbytes import ALPHA, LOWER, Block, U
 
 BUCKETS = 1 << 14
-#: About that many rows of each language are learned from.
+#: At most that many rows of each language are learned from.
 ROWS_EACH = 1500
+_ASCII_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 _letter = regex.compile(r"\p{L}")
 _K = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -74,7 +76,9 @@ class LanguageModel:
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected for each text. A null text and one without a letter is ``und``, 1.0."""
         block = Block(texts)
-        known = np.array([t is not None and _letter.search(t) is not None for t in texts.to_pylist()], bool)
+        known = block.sums(_ASCII_LETTER[block.data]) > 0
+        for k in np.flatnonzero(~known & (block.sums(block.data > 127) > 0)):  # letters beyond ASCII only
+            known[k] = _letter.search(texts[int(k)].as_py()) is not None
         if not self.langs:
             return ["und"] * block.n, np.where(known, 0.0, 1.0), known
         sums, n = _table_sums(self.table, block)
@@ -130,24 +134,25 @@ def train(bag: list[tuple[np.ndarray, np.ndarray]], y: list[str], dim: int = 16,
 def learn(docs: DataFrame, learn_if, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = ROWS_EACH) -> LanguageModel:
     """Learns from rows of ``docs`` where ``learn_if`` (a Column) holds and text and language aren't null.
 
-    The sample has about ``rows_each`` rows of each language (by a hash of the id, so it is the same on each run), all of them
-    where there are fewer; what goes to the driver are the subword counts of those rows, at most ``BUCKETS`` each.
+    The sample has at most ``rows_each`` rows of each language and ``sample.ROOM`` of features (by a hash of language and text, so it is
+    the same on each run, and copies count once), all of them where there are fewer; what goes to the driver are the subword
+    counts of those rows, at most ``BUCKETS`` each. Without rows to learn from the model knows no language. ``learn_if`` may use ``id_col``.
     """
     tune(docs.sparkSession)
-    labelled = narrowed(docs, id_col, text_col, lang_col).where(learn_if & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    labelled = narrowed(docs, id_col, text_col, lang_col).where(learn_if & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    labelled = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), place(lang_col, text_col).alias("place"))
+    cost = F.least(F.octet_length("text") * 2, F.lit(BUCKETS)) * 8
+    chosen = choose(stored_places(labelled.select(F.col("lang").alias("group"), "place", cost.cast("long").alias("cost"))), rows_each)
+    if not chosen:
         return train([], [])
-    place = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, rows_each / n))))
-    sample = labelled.where(place < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in pieces(batches, "text"):
             found = bags(Block(column(b, "text")))
-            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "lang"), pa.array([x.astype("<i4").tobytes() for x, _ in found]), pa.array([n.astype("<i4").tobytes() for _, n in found])], ["id", "lang", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([column(b, "place"), column(b, "lang"), pa.array([x.astype("<i4").tobytes() for x, _ in found]), pa.array([n.astype("<i4").tobytes() for _, n in found])], ["place", "lang", "ids", "n"])
 
-    rows = sorted(sample.mapInArrow(run, "id string, lang string, ids binary, n binary").collect(), key=lambda r: (r["id"] or "", r["lang"], bytes(r["ids"])))
+    sample = sampled(labelled, chosen).select("text", "lang", "place").mapInArrow(run, "place long, lang string, ids binary, n binary").dropDuplicates(["place", "lang"])
+    rows = sorted(sample.collect(), key=lambda r: (r["lang"], r["place"]))
     return train([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows], [r["lang"] for r in rows])
 
 
@@ -155,7 +160,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text_col: s
     """Columns ``keep`` of ``docs`` with lang_pred, score (calibrated, 0 to 1) and rejected.
 
     Null texts and those without a letter are ``und`` with score 1. Rows stay as they are, repeated or not; other columns of
-    ``docs`` don't matter. With no language learned every text is ``und``.
+    ``docs`` don't matter. With no language learned every text is ``und``. No rows give no rows.
     """
     tune(docs.sparkSession)
     chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))

@@ -13,11 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import lookup
+from .sample import choose, place, sampled, stored_places
 from .store import column, narrowed, pieces, tune
 from .textbytes import NOT_SPACE, SAME, Block, U, covered, mix, run_sums, spans_hash
 
-#: About that many documents of either quality are learned from; longer ones than this many lines are not.
+#: At most that many documents of either quality are learned from; longer ones than this many lines are not.
 DOCS_EACH, MOST_LINES = 1200, 1500
+#: Texts of more lines are decoded one by one.
+LONG = 256
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -98,16 +102,42 @@ class LineModel:
         self.w, self.trans, self.share = w, trans, share
 
     def viterbi(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The likeliest states of all lines; all texts advance line by line together."""
-        emit = x @ self.w
-        best, back, state = np.zeros((len(off) - 1, 2)), np.zeros((len(x), 2), np.int8), np.zeros(len(x), np.int8)
+        """The likeliest states of all lines. Texts advance line by line together; those of over ``LONG`` lines go one by one, as few
+        texts would be alive at a time."""
+        emit, state, n = x @ self.w, np.zeros(len(x), np.int8), np.diff(off)
+        for k in np.flatnonzero(n > LONG):
+            state[off[k] : off[k + 1]] = self._one(emit[off[k] : off[k + 1]])
+        few = np.repeat(n <= LONG, n)
+        emit, n = emit[few], np.where(n <= LONG, n, 0)
+        state[few] = self._together(emit, np.concatenate([[0], np.cumsum(n)]))
+        return state
+
+    def _one(self, emit: np.ndarray) -> list[int]:
+        (t00, t01), (t10, t11) = self.trans.tolist()
+        rows = iter(emit.tolist())
+        a, b = next(rows)
+        back = []
+        for x, y in rows:
+            p, q = a + t00, b + t10
+            r, s = a + t01, b + t11
+            back.append((int(q > p), int(s > r)))
+            a, b = max(p, q) + x, max(r, s) + y
+        now = int(b > a)
+        out = [now]
+        for pair in reversed(back):
+            now = pair[now]
+            out.append(now)
+        return out[::-1]
+
+    def _together(self, emit: np.ndarray, off: np.ndarray) -> np.ndarray:
+        best, back, state = np.zeros((len(off) - 1, 2)), np.zeros((len(emit), 2), np.int8), np.zeros(len(emit), np.int8)
         for t, (who, line) in enumerate(_steps(off)):
             if t:
                 via = best[who][:, :, None] + self.trans
                 back[line] = via.argmax(axis=1)
                 best[who] = via.max(axis=1)
             best[who] += emit[line]
-        if len(x):
+        if len(emit):
             n = np.diff(off)
             at = best.argmax(axis=1)
             full = np.flatnonzero(n)
@@ -188,32 +218,32 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray) -> LineMo
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", docs_each: int = DOCS_EACH) -> LineModel:
-    """Learns from labelled rows of ``docs``: about ``docs_each`` of either quality by a hash of the id (all where fewer).
+def learn(docs: DataFrame, labels: DataFrame, learn_if=None, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", docs_each: int = DOCS_EACH) -> LineModel:
+    """Learns from labelled rows of ``docs`` where ``learn_if`` (a Column; default: all) holds: at most ``docs_each`` texts of either quality
+    and ``sample.ROOM`` of their lines' features, by a hash of the text, so that copies count once (all where fewer).
 
     Rows with more than ``MOST_LINES`` lines or none aren't learned from; the driver gets the line features of the others.
-    An id with several labels is good only if all are 1; null labels don't count.
+    An id with several labels is good only if all are 1; null labels don't count. Without labels, or with one kind only, DEFAULT is used.
     """
     tune(docs.sparkSession)
     label = narrowed(labels, id_col, quality_col).where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(quality_col).cast("int").alias("good"))
-    text = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r["good"]: r["n"] for r in label.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return DEFAULT
-    place = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, docs_each / n)))
-    # a bounded set of ids: docs_each of either kind and their spread
-    sample = text.join(F.broadcast(label.where(place < share[F.col("good")])), "id")
+    text = narrowed(docs, id_col, text_col).where(F.lit(True) if learn_if is None else learn_if).where(F.col(text_col).isNotNull())
+    text = text.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), place(text_col).alias("place"))
+    lines = F.least(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(MOST_LINES))
+    every = stored_places(text.select("id", "place", (lines * 4 * (len(FEATURES) + 1)).cast("long").alias("cost")))
+    known = lookup(every, stored_places(label), "id", how="inner").where("good in (0, 1)")
+    chosen = choose(stored_places(known.select(F.when(F.col("good") == 1, "good").otherwise("poor").alias("group"), "place", "cost")), docs_each)
 
     def run(batches):
         for b in pieces(batches, "text"):
             lines = Lines(Block(column(b, "text")))
             got = [(k, a, c) for k, (a, c) in enumerate(zip(lines.off, lines.off[1:], strict=False)) if 0 < c - a <= MOST_LINES]
             at = pa.array([k for k, _, _ in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([column(b, "id").cast(pa.string()).take(at), column(b, "good").take(at), pa.array([lines.x[a:c].astype("<f4").tobytes() for _, a, c in got], pa.binary()), pa.array([lines.chars[a:c].astype("<f4").tobytes() for _, a, c in got], pa.binary())], ["id", "good", "x", "chars"])
+            yield pa.RecordBatch.from_arrays([column(b, "place").take(at), column(b, "group").take(at), pa.array([lines.x[a:c].astype("<f4").tobytes() for _, a, c in got], pa.binary()), pa.array([lines.chars[a:c].astype("<f4").tobytes() for _, a, c in got], pa.binary())], ["place", "group", "x", "chars"])
 
-    got = sorted(sample.mapInArrow(run, "id string, good int, x binary, chars binary").collect(), key=lambda r: (r["id"], bytes(r["x"])))
-    return train([(np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64), np.frombuffer(r["chars"], "<f4").astype(np.float64)) for r in got], np.array([r["good"] == 1 for r in got], bool))
+    sample = sampled(text.select("text", "place"), chosen).select("text", "place", "group").mapInArrow(run, "place long, group string, x binary, chars binary").dropDuplicates(["place", "group"])
+    got = sorted(sample.collect(), key=lambda r: (r["place"], r["group"]))
+    return train([(np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64), np.frombuffer(r["chars"], "<f4").astype(np.float64)) for r in got], np.array([r["group"] == "good" for r in got], bool))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -224,7 +254,7 @@ def judge(docs: DataFrame, model: LineModel, keep: list[str], text_col: str = "t
 
     base_failed: under 10 words, or over 20 % of the words in 5-word windows that occur twice or more. kept: base_failed is false
     and the content share reaches the model's. Null and empty texts have counts of 0 and are base_failed. Rows stay as they are;
-    other columns don't matter.
+    other columns don't matter. No rows give no rows.
     """
     tune(docs.sparkSession)
     chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))

@@ -4,8 +4,8 @@ Features are hashed words (letters; A-Z lower-cased) and word beginnings, by the
 logarithm of its length, as long texts hold more by chance. Those that positive texts have clearly more often than unlabelled ones are kept
 (a likelihood-ratio test, in which copies of a text count once). Linear classifiers are trained in numpy with the non-negative estimator of the risk: pi * E_pos[l(+)] + max(0, E_unl[l(-)] - pi * E_pos[l(-)]), where pi is the class prior,
 from confirmed toxic texts and from texts whose label isn't looked at. When the bracket falls below zero, the step goes back up
-its gradient instead. Several classifiers with other seeds are averaged. Platt scaling on labelled learning rows makes
-probabilities of the sums.
+its gradient instead. Classifiers with other seeds are averaged. Others leave a part
+of the texts out each: there, the share of positive by unlabelled texts, times the prior, makes probabilities of the sums.
 """
 
 from __future__ import annotations
@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import lookup
+from .sample import choose, place, sampled, stored_places
 from .store import column, narrowed, pieces, tune
 from .textbytes import ALPHA, Block, U, mix, spans_hash
 
 BITS = 20
-#: About that many toxic and that many other texts are learned from, and that many words.
+POSITIVE, PLAIN = "positive", "unlabelled"
+#: At most that many toxic texts and that many of any label are learned from, and that many words.
 POSITIVES, UNLABELLED, FEATURES = 3000, 6000, 2048
 #: Bytes of a word's beginning that are features too.
 PREFIXES = (5, 6, 7, 8)
@@ -56,10 +59,11 @@ def length(words: np.ndarray) -> np.ndarray:
 
 
 class ToxicityModel:
-    """``weights``: by feature in ``buckets``, and at last that of the length; a score is sigmoid(slope * (their sum + bias) + shift)."""
+    """``weights``: by feature in ``buckets``, and at last that of the length; a text's margin is their sum and ``bias``. Scores lie between
+    the ``values`` at the margins ``at``, with a small share of a sigmoid, so that a higher margin always has a higher score."""
 
-    def __init__(self, buckets, weights, bias, slope, shift):
-        self.buckets, self.weights, self.bias, self.slope, self.shift = buckets, weights, bias, slope, shift
+    def __init__(self, buckets, weights, bias, at, values):
+        self.buckets, self.weights, self.bias, self.at, self.values = buckets, weights, bias, at, values
 
     def margins(self, block: Block) -> np.ndarray:
         n = len(self.buckets)
@@ -77,7 +81,8 @@ class ToxicityModel:
         return np.bincount(hits // n, self.weights[hits % n] * levels(counts), minlength=block.n)[: block.n] + self.weights[n] * length(words) + self.bias
 
     def scores(self, block: Block) -> np.ndarray:
-        return sigmoid(self.slope * self.margins(block) + self.shift)
+        margin = self.margins(block)
+        return 0.98 * np.interp(margin, self.at, self.values) + 0.02 * sigmoid(margin)
 
 
 def sigmoid(x):
@@ -116,15 +121,7 @@ def _clear(docs: list[np.ndarray], counts: list[np.ndarray], pos: np.ndarray, un
     return np.sort(top[g[top] > CLEAR]).astype(np.int32)
 
 
-def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, unlabelled: np.ndarray, known: np.ndarray, prior: float, models: int = 3, epochs: int = 60, rate: float = 0.1, seed: int = 11) -> ToxicityModel:
-    """docs: distinct features by row, with counts; words: their number by row; toxic: rows confirmed; unlabelled: rows taken as
-    unlabelled; known: 0, 1 or -1 by row, for scaling."""
-    pos, unl = np.flatnonzero(toxic), np.flatnonzero(unlabelled)
-    prior = float(np.clip(prior, 0.001, 0.9))
-    if not len(pos) or not len(unl):
-        rest = np.log(prior / (1 - prior))
-        return ToxicityModel(np.zeros(0, np.int32), np.zeros(1), 0.0, 1.0, float(rest))
-    buckets = _clear(docs, counts, pos, unl)
+def _matrix(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     n = len(buckets)
     x = np.zeros((len(docs), n + 1), np.float32)
     for k, ids in enumerate(docs):
@@ -133,88 +130,116 @@ def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, t
         ok[ok] = buckets[at[ok]] == ids[ok]
         x[k, at[ok]] = levels(counts[k][ok])
     x[:, n] = length(words)
-    total, offset = np.zeros(n + 1), 0.0
-    for m in range(models):
-        rng = np.random.default_rng(seed + m)
-        w, b = rng.normal(0, 0.01, n + 1), 0.0
-        gw, gb = np.full(n + 1, 1e-6), 1e-6
-        for _ in range(epochs):
-            for part in np.array_split(rng.permutation(pos), max(1, len(pos) // 256)):
-                some = rng.choice(unl, min(len(unl), 3 * len(part) + 64), replace=False)
-                sp, su = sigmoid(x[part] @ w + b), sigmoid(x[some] @ w + b)
-                # logistic loss: d l(+)/dm = s - 1, d l(-)/dm = s
-                neg_risk = np.mean(-np.log(1 - su + 1e-9)) - prior * np.mean(-np.log(1 - sp + 1e-9))
-                dp, du = prior * (sp - 1) / len(part), su / len(some)
-                dn = -prior * sp / len(part)
-                if neg_risk >= 0:
-                    dp = dp + dn
-                else:
-                    dp, du = -dn, -du
-                g = x[part].T @ dp + x[some].T @ du + 1e-4 * w
-                h = dp.sum() + du.sum()
-                gw += g * g
-                gb += h * h
-                w -= rate * g / np.sqrt(gw)
-                b -= rate * h / np.sqrt(gb)
-        total += w / models
-        offset += b / models
-    margin = x @ total + offset
-    scaled = np.flatnonzero(known >= 0)
-    slope, shift = platt(margin[scaled], known[scaled]) if len(scaled) > 20 else (1.0, 0.0)
-    return ToxicityModel(buckets, total, offset, slope, shift)
-
-
-def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Newton steps for P(y = 1) = sigmoid(slope * margin + shift); the slope stays positive."""
-    slope, shift = 1.0, 0.0
-    for _ in range(steps):
-        p = sigmoid(slope * margin + shift)
-        g = np.array([np.sum((p - y) * margin) + 1e-3 * slope, np.sum(p - y)])
-        w = p * (1 - p) + 1e-6
-        h = np.array([[np.sum(w * margin**2) + 1e-3, np.sum(w * margin)], [np.sum(w * margin), np.sum(w)]])
-        d = np.linalg.solve(h + 1e-6 * np.eye(2), g)
-        d *= min(1.0, 2.0 / (np.abs(d).max() + 1e-12))
-        slope, shift = max(1e-3, slope - d[0]), shift - d[1]
-    return float(slope), float(shift)
+    return x
+
+
+def _descend(x: np.ndarray, pos: np.ndarray, unl: np.ndarray, prior: float, rng: np.random.Generator, epochs: int, rate: float) -> tuple[np.ndarray, float]:
+    """One classifier by steps down the non-negative risk."""
+    n = x.shape[1]
+    w, b = rng.normal(0, 0.01, n), 0.0
+    gw, gb = np.full(n, 1e-6), 1e-6
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(pos), max(1, len(pos) // 256)):
+            some = rng.choice(unl, min(len(unl), 3 * len(part) + 64), replace=False)
+            xp, xu = x[part], x[some]
+            sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+            # logistic loss: d l(+)/dm = s - 1, d l(-)/dm = s
+            neg_risk = np.mean(-np.log(1 - su + 1e-9)) - prior * np.mean(-np.log(1 - sp + 1e-9))
+            dp, du = prior * (sp - 1) / len(part), su / len(some)
+            dn = -prior * sp / len(part)
+            if neg_risk >= 0:
+                dp = dp + dn
+            else:
+                dp, du = -dn, -du
+            g = xp.T @ dp + xu.T @ du + 1e-4 * w
+            h = dp.sum() + du.sum()
+            gw += g * g
+            gb += h * h
+            w -= rate * g / np.sqrt(gw)
+            b -= rate * h / np.sqrt(gb)
+    return w, b
+
+
+def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, unlabelled: np.ndarray, prior: float, folds: int = 4, models: int = 2, epochs: int = 60, rate: float = 0.1, seed: int = 11) -> ToxicityModel:
+    """docs: distinct features by row, with counts; words: their number by row; toxic: rows confirmed; unlabelled: rows taken as
+    unlabelled. ``models`` classifiers are averaged. For each of ``folds`` parts of the rows one more is trained without
+    it, whose margins there scale the scores."""
+    pos, unl = np.flatnonzero(toxic), np.flatnonzero(unlabelled)
+    prior = float(np.clip(prior, 0.001, 0.9))
+    if not len(pos) or not len(unl):
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(1), 0.0, np.zeros(1), np.full(1, prior))
+    rng = np.random.default_rng(seed)
+    part_of, seen = [rng.permutation(len(r)) % folds for r in (pos, unl)], [np.zeros(len(r)) for r in (pos, unl)]
+    for m in range(folds):
+        used = [r[p != m] if (p != m).any() else r for r, p in zip((pos, unl), part_of, strict=True)]
+        x = _matrix(docs, counts, words, _clear(docs, counts, *used))
+        w, b = _descend(x, *used, prior, np.random.default_rng(seed + 1 + m), epochs, rate)
+        for r, p, out in zip((pos, unl), part_of, seen, strict=True):
+            out[p == m] = x[r[p == m]] @ w + b
+    buckets = _clear(docs, counts, pos, unl)
+    x = _matrix(docs, counts, words, buckets)
+    found = [_descend(x, pos, unl, prior, np.random.default_rng(seed - m), epochs, rate) for m in range(models)]
+    at, values = scale(*seen, prior)
+    return ToxicityModel(buckets, np.mean([w for w, _ in found], axis=0), float(np.mean([b for _, b in found])), at, values)
+
+
+def scale(pos: np.ndarray, unl: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Margins and the probabilities at them, without negatives.
+
+    P(toxic | margin) is prior * density among positives / density among unlabelled texts. The rising step function with the least
+    squared risk, E_unl[s * s] - 2 * prior * E_pos[s], has that ratio on each step (adjacent violators are pooled); scores go
+    straight from the middle of a step to that of the next.
+    """
+    margin = np.concatenate([pos, unl])
+    order = np.argsort(margin, kind="stable")
+    p = np.concatenate([np.full(len(pos), prior / len(pos)), np.zeros(len(unl))])[order]
+    u = np.concatenate([np.zeros(len(pos)), np.full(len(unl), 1 / len(unl))])[order]
+    steps: list[list[float]] = []  # of (positive mass, unlabelled mass, sum of margins, rows)
+    for m, a, b in zip(margin[order].tolist(), p.tolist(), u.tolist(), strict=True):
+        steps.append([a, b, m, 1])
+        while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
+            top = steps.pop()
+            steps[-1] = [x + y for x, y in zip(steps[-1], top, strict=True)]
+    at = np.array([m / n for _, _, m, n in steps])
+    values = np.array([min(1.0, a / b) if b else 1.0 for a, b, _, _ in steps])
+    return at, values
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_if, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     """Learns from rows of ``docs`` where ``learn_if`` holds. ``labels`` has ids and 0 or 1.
 
-    About ``positives`` confirmed toxic rows and ``unlabelled`` others are taken by a hash of the id; to the driver go the
-    distinct hashed words of those rows. The prior is the share of toxic among the labelled learning rows. Repeated and
-    null labels: an id is toxic if any of its labels is 1, and null labels don't count.
+    At most ``positives`` confirmed toxic texts and ``unlabelled`` texts whatever their label are taken, by a hash of the text, so that
+    copies count once; to the driver go the hashed words of those, ``sample.ROOM`` bytes of either group at most. The prior is the share of
+    toxic among the labelled learning rows; of labels equal to 0 nothing else is used. Repeated and null labels: an id is toxic if any of its labels
+    is 1, and null labels don't count. Without positive or unlabelled rows every text gets the prior.
     """
     tune(docs.sparkSession)
     label = narrowed(labels, id_col, toxic_col).where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic_col).cast("int").alias("toxic"))
-    text = narrowed(docs, id_col, text_col).where(learn_if).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = {r["toxic"]: r["n"] for r in text.select("id").join(label, "id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = text.select("id").count()
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ids = text.select("id", place.alias("place")).join(label, "id", "left")
-    # the sampled ids are a bounded set (positives + unlabelled + their spread), so they may be broadcast
-    want = ids.where(F.when(F.col("toxic") == 1, F.col("place") < positives / max(1, seen.get(1, 0))).otherwise(F.col("place") < unlabelled / max(1, rows))).select("id", "toxic").distinct()
-    sample = text.join(F.broadcast(want), "id")
+    text = narrowed(docs, id_col, text_col).where(learn_if).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place(F.coalesce(F.col(text_col), F.lit(""))).alias("place"))
+    cost = F.least(F.octet_length("text"), F.lit(1 << BITS)) * 8
+    every = stored_places(text.select("id", "place", cost.cast("long").alias("cost")))
+    known = stored_places(lookup(every, stored_places(label), "id", how="inner"))
+    seen = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    groups = known.where("toxic = 1").select(F.lit(POSITIVE).alias("group"), "place", "cost")
+    chosen = choose(groups, positives) + choose(every.select(F.lit(PLAIN).alias("group"), "place", "cost"), unlabelled)
 
     def run(batches):
         for b in pieces(batches, "text"):
             ids, n, off, words = word_buckets(Block(column(b, "text")))
             packed = [pa.array([v[a:c].astype("<i4").tobytes() for a, c in zip(off, off[1:], strict=False)], pa.binary()) for v in (ids, n)]
-            yield pa.RecordBatch.from_arrays([column(b, "id").cast(pa.string()), column(b, "toxic"), *packed, pa.array(words)], ["id", "toxic", "ids", "n", "words"])
+            yield pa.RecordBatch.from_arrays([column(b, "place"), column(b, "group"), *packed, pa.array(words)], ["place", "group", "ids", "n", "words"])
 
-    got = sorted(sample.mapInArrow(run, "id string, toxic int, ids binary, n binary, words long").collect(), key=lambda r: (r["id"] or "", bytes(r["ids"]), bytes(r["n"])))
-    known = np.array([-1 if r["toxic"] is None else r["toxic"] for r in got], int)
-    rng = np.random.default_rng(5)
-    # unlabelled rows are a plain sample of all: toxic ones stand there with the share they have
-    plain = np.where(known == 1, rng.random(len(known)) < unlabelled / max(1, rows) / min(1.0, positives / max(1, seen.get(1, 0))), True) if len(known) else known.astype(bool)
+    sample = sampled(text.select("text", "place"), chosen).select("text", "place", "group").mapInArrow(run, "place long, group string, ids binary, n binary, words long").dropDuplicates(["place", "group"])
+    got = sorted(sample.collect(), key=lambda r: (r["group"], r["place"]))
+    toxic = np.array([r["group"] == POSITIVE for r in got], bool)
     prior = seen.get(1, 0) / max(1, sum(seen.values()))
-    return train([np.frombuffer(r["ids"], "<i4") for r in got], [np.frombuffer(r["n"], "<i4") for r in got], np.array([r["words"] for r in got], np.int64), known == 1, plain, known, prior)
+    return train([np.frombuffer(r["ids"], "<i4") for r in got], [np.frombuffer(r["n"], "<i4") for r in got], np.array([r["words"] for r in got], np.int64), toxic, ~toxic, prior)
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` with score (0 to 1) and predicted (1 if score >= threshold).
 
-    Null and empty texts get the score of a text without words. Rows stay as they are; other columns don't matter.
+    Null and empty texts get the score of a text without words. Rows stay as they are; other columns don't matter. No rows give no rows.
     """
     tune(docs.sparkSession)
     chosen = narrowed(docs, *keep, text_col).select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
