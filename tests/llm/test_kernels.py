@@ -244,12 +244,26 @@ def likelihood(bigrams, cls):
 def test_exchange_never_lowers_the_likelihood_and_finds_planted_classes():
     rng = np.random.default_rng(0)
     planted = np.array([0, 1, 2] * 10)
-    bigrams = np.zeros((32, 32))
+    bigrams = np.zeros((33, 33))
     for a in range(30):
         bigrams[a, np.flatnonzero(planted == (planted[a] + 1) % 3)] = rng.integers(5, 30, 10)
-    start = np.empty(32, int)
-    start[np.argsort(-(bigrams.sum(0) + bigrams.sum(1))[:30], kind="stable")] = np.arange(30) % 3
-    start[30:] = [3, 4]
-    cls = brown.exchange(bigrams, 3, sweeps=10)
-    assert likelihood(bigrams, cls) >= likelihood(bigrams, start)
-    assert len({(p, c) for p, c in zip(planted, cls[:30])}) == 3
+        bigrams[a, [a, 30, 32]], bigrams[[30, 31], a] = rng.integers(0, 3, 3), rng.integers(0, 3, 2)
+    start = np.append(rng.permutation(np.arange(30) % 3), [3, 4, 5])
+    bigrams = bigrams[np.ix_(np.append(rng.permutation(30), [30, 31, 32]), np.arange(33))]
+    pair = np.nonzero(bigrams)
+    cls = brown.exchange(*pair, bigrams[pair], 33, 3, sweeps=20)
+    assert (cls[30:] == [3, 4, 5]).all() and set(cls[:30]) <= {0, 1, 2}
+    assert likelihood(bigrams, cls) >= max(likelihood(bigrams, start), likelihood(bigrams, np.append(np.arange(30) % 3, [3, 4, 5])))
+    # no single move is better
+    for w in range(30):
+        for c in range(3):
+            moved = cls.copy()
+            moved[w] = c
+            assert likelihood(bigrams, moved) <= likelihood(bigrams, cls) + 1e-5
+
+
+def test_packed_dictionaries():
+    h = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (brown._loosed_hashes(brown._pressed_hashes(h)) == h).all() and len(brown._loosed_hashes(brown._pressed_hashes(h[:0]))) == 0
+    n = np.array([0, 1, 255, 256, 2**32 - 1])
+    assert (brown._loosed(brown._pressed(n)) == n).all() and len(brown._loosed(brown._pressed(n[:0]))) == 0

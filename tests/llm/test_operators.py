@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -297,17 +298,78 @@ def test_lm_scores(spark, docs, empty):
     assert len(nothing) == len(ROWS) and {r["n_known"] for r in nothing} == {0} and {r["base_score"] for r in nothing} == {0.0}
 
 
-def test_class_model_sums_to_one(spark, docs):
-    """Over all known words and one unknown word of each class, the probabilities after any word add up to one."""
-    stored = brown.chunks(docs, F.lit(True))
-    words = brown.vocabulary(stored)
-    model = brown.learn(stored, words)
-    rows = words.collect()
-    unit = model.units.of(np.array([r["word"] for r in rows]), np.array([r["tail"] for r in rows]))
-    cls, c = model.cls[unit], np.array([r["c"] for r in rows], float)
-    emit = (c + model.add) / (model.tokens[cls] + model.add * (model.kinds[cls] + 1))
-    every = np.bincount(cls, emit, minlength=len(model.kinds)) + model.add / (model.tokens + model.add * (model.kinds + 1))
-    assert np.allclose(every, 1) and np.allclose(model.trans.sum(1), 1)
+@pytest.fixture(scope="module")
+def class_model(spark, docs):
+    """The model of all rows, with the count and class of each word as answered, and the texts' tokens."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(brown, "CORE", 2e-3)  # so that there are other words
+        stored = brown.chunks(docs, F.lit(True))
+        shared = spark.sparkContext.broadcast(brown.cluster(stored, 5))
+        answers = brown.answered(brown.asked(stored, shared, 3), shared)
+        model = brown.learned(answers, shared.value)
+    words, c, cls = {}, {}, {}
+    for r in stored.collect():
+        words[r["chunk"]] = np.frombuffer(r["words"], "<u8").tolist()
+    parts = defaultdict(list)
+    for r in answers.where("chunk is not null").collect():
+        parts[r["chunk"]].append((r["bucket"], brown._loosed(r["counts"]).tolist(), list(zstandard.decompress(r["classes"]))))
+    for chunk, some in parts.items():
+        some.sort()
+        for w, n, k in zip(words[chunk], (x for p in some for x in p[1]), (x for p in some for x in p[2]), strict=True):
+            assert c.setdefault(w, n) == n and cls.setdefault(w, k) == k
+    texts = [(i, [word_hash(w) for w in (t or "").encode().lower().split()] + [int(brown.END)]) for i, t, *_ in ROWS]
+    return model, c, cls, texts
+
+
+def test_words_have_their_counts_and_likeliest_classes(class_model):
+    model, c, cls, texts = class_model
+    assert c == Counter(w for _, x in texts for w in x)
+    core = {int(w): int(k) for w, k in zip(model.classes.units.core, model.classes.cls, strict=False)}
+    core_class = core | {int(brown.END): model.classes.end}
+    assert all(cls[w] == k for w, k in core.items()) and len(core) < len(c)
+    fit = defaultdict(lambda: np.zeros(model.classes.other))
+    for _, x in texts:
+        for before, w, after in zip([None, *x], x, [*x[1:], 0]):
+            if w not in core_class:
+                left = model.classes.start if before is None else core_class.get(before)
+                fit[w] = fit[w] + (0 if left is None else model.classes.fit[left]) + (0 if after not in core_class else model.classes.fit[128 + core_class[after]])
+    for w, f in fit.items():
+        assert f[cls[w]] >= f.max() - 1e-3 or not f.any()
+
+
+def test_class_scores_equal_a_plain_model(spark, docs, class_model):
+    model, c, cls, texts = class_model
+    n, v = sum(c.values()), len(c)
+    tokens, kinds, once = Counter(), Counter(), Counter()
+    for w, m in c.items():
+        tokens[cls[w]] += m
+        kinds[cls[w]] += 1
+        once[cls[w]] += m == 1
+    d = sum(once.values()) / (sum(once.values()) + 2 * sum(m == 2 for m in c.values()))
+    assert [tokens[k] for k in range(model.classes.k)] == model.tokens.tolist() and abs(model.discount - d) < 1e-12
+
+    def plain(words):
+        total, before = 0.0, model.classes.start
+        for w in words:
+            now = cls[w]
+            total += np.log10(0.95 * model.trans[before, now] * (c[w] - d) / tokens[now] + 0.05 * (c[w] + 0.1) / (n + 0.1 * (v + 1)))
+            before = now
+        return total
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(brown, "CORE", 2e-3)
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 5)) for r in brown.score(docs, F.lit(True), classes=5).collect())
+    want = sorted((i if i is not None else -1, round(float(plain(x)), 5)) for i, x in texts)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-4 * max(1, abs(b[1])) for a, b in zip(got, want, strict=True))
+
+
+def test_class_model_sums_to_one(class_model):
+    """Over all known words and what isn't known, the probabilities after any class add up to one."""
+    model, c, cls, _ = class_model
+    emit = np.zeros(model.unknown)
+    for w, m in c.items():
+        emit[cls[w]] += (m - model.discount) / model.tokens[cls[w]]
+    assert np.allclose(model.trans[:, : model.unknown] @ emit + model.trans[:, model.unknown], 1)
 
 
 def test_quality_rules(spark, docs, empty, labels):
