@@ -1,9 +1,8 @@
 """URL filters: rules, then host word segmentation and multinomial naive Bayes.
 
 Names in hosts are split into words by unigram Viterbi; word counts come from the visible text of all pages. Naive Bayes scores
-the words of hosts and the tokens of paths. It learns without labels: a page whose segmented host has a seed word counts as
-one to block, any other as one to allow, and the seed words themselves are added as examples. So words that keep company with
-seeds are learned, and rules aren't inputs.
+the words of hosts and the tokens of paths. It learns from the pages that the rules decide, and gives a verdict on the others: what
+is near to blocked hosts and paths is blocked. No list of words is given.
 
 Distinct names, hosts and paths are what is segmented and scored, so frequent ones cost no more than rare ones. All
 joins back to rows go through ``joins.lookup``, which doesn't shuffle rows of hot keys.
@@ -15,6 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +22,9 @@ from .joins import lookup
 from .store import column, narrowed, pieces, tune, written
 from .textbytes import ALPHA, Block, spans_hash
 
-#: Words that mark a host as one to block.
-SEEDS = ("spam", "casino", "adult", "porn", "xxx", "sex", "viagra", "malware", "phishing", "warez", "torrent", "gambling", "bet", "bets", "betting", "escort")
-#: Words that a segmentation may use even if the pages don't have them.
-COMMON = ("www", "com", "net", "org", "blog", "mail", "news", "shop", "web", "site", "online", "example", "free", "win", "farm", "best", "home", "info", "world", "the", "my", "for", "of", "and")
-LONGEST = 24
+#: Bytes of the longest word that a segmentation knows, and letters of a name that are segmented at once (labels of real hosts have 63).
+LONGEST, NAME = 24, 512
+_names = regex.compile(r"[a-z\x80-\U0010ffff]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,8 +59,12 @@ class Rules:
         return found
 
 
+#: What isn't visible text: bodies of scripts and styles, and comments; without an end they go on to that of the page.
+_HIDDEN = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+
+
 def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(word, c): 64-bit hashes and counts of all words in the visible text of all pages, with ``SEEDS`` and ``COMMON`` added; stored."""
+    """(word, c): 64-bit hashes and counts of all words in the visible text of all pages; stored. Brackets count within a page only."""
 
     def run(batches):
         for b in pieces(batches, "html"):
@@ -75,23 +77,29 @@ def page_words(pages: DataFrame, html_col: str = "html") -> DataFrame:
             word, c = np.unique(words.hash[seen], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["word", "c"])
 
-    added = Block.of(sorted({*SEEDS, *COMMON})).words(ALPHA)
-    extra = pages.sparkSession.createDataFrame([(int(h), 20) for h in added.hash.view(np.int64)], "word long, c long")
-    rows = pages.select(F.col(html_col).alias("html")).mapInArrow(run, "word long, c long").union(extra)
+    rows = pages.select(F.regexp_replace(html_col, _HIDDEN, "<>").alias("html")).mapInArrow(run, "word long, c long")
     return written(rows.groupBy("word").agg(F.sum("c").alias("c")), "words")
 
 
 def viterbi(name: str, known: list[tuple[int, int, int]], total: int) -> list[str]:
-    """The likeliest split of ``name``. known: (start, end, count) of parts that are words; any other part costs
-    10 / (total * 10 ** length), so that unknown names stay whole rather than fall apart."""
+    """The likeliest split of ``name``. known: (start, end, count) of parts that are words; any other part has the chance
+    10 / (total * 10 ** length), so that unknown names stay whole rather than fall apart. Of equal ones, the first word is shorter.
+
+    Time and space grow with the length and the number of known parts: an unknown part is carried on letter by letter.
+    """
     n = len(name)
-    cost = {(a, b): math.log(c / total) for a, b, c in known}
+    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for a, b, c in known:
+        ends[b].append((a, math.log(c / total)))
+    letter, enter = -math.log(10), math.log(10 / total)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    run, start = -math.inf, 0  # the best split that ends in an unknown part here, and where that starts
     for b in range(1, n + 1):
-        for a in range(b):
-            p = cost.get((a, b))
-            if p is None:
-                p = math.log(10 / total) - (b - a) * math.log(10)
+        if best[b - 1] + enter > run:
+            run, start = best[b - 1] + enter, b - 1
+        run += letter
+        best[b], back[b] = run, start
+        for a, p in ends[b]:
             if best[a] + p > best[b]:
                 best[b], back[b] = best[a] + p, a
     out = []
@@ -101,38 +109,43 @@ def viterbi(name: str, known: list[tuple[int, int, int]], total: int) -> list[st
     return out[::-1]
 
 
+def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, end) of all parts of 2 to ``LONGEST`` bytes."""
+    size = np.diff(off)
+    of, n = np.repeat(np.arange(len(size)), size), int(off[-1])
+    start = np.arange(n) - np.repeat(off[:-1], size)
+    many = np.maximum(np.minimum(size[of] - start, LONGEST) - 1, 0)
+    at = np.repeat(np.arange(n), many)
+    length = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + 2
+    return of[at], start[at], start[at] + length
+
+
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
-    """(name, words) for each distinct name (a..z and non-ASCII letters): every part of up to ``LONGEST`` bytes is looked up in the counts."""
+    """(name, words) for each distinct name (a..z and letters beyond ASCII): every part of up to ``LONGEST`` bytes is looked up in the counts."""
     total = int(words.agg(F.sum("c")).first()[0] or 1)
+    names = written(names.select("name", F.monotonically_increasing_id().alias("key")), "names")
 
     def cut(batches):
-        for b in batches:
-            array = column(b, "name")
-            block = Block(array)
-            data, out = block.data, {"name": [], "a": [], "b": [], "word": []}
-            for k, (lo, hi) in enumerate(zip(block.off, block.off[1:], strict=False)):
-                a, z = np.triu_indices(int(hi - lo) + 1, 2)
-                keep = z - a <= LONGEST
-                a, z = a[keep], z[keep]
-                out["name"].append(np.full(len(a), k))
-                out["a"].append(a)
-                out["b"].append(z)
-                out["word"].append(spans_hash(data, lo + a, lo + z).view(np.int64))
-            at = np.concatenate(out["name"]) if out["name"] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([array.take(pa.array(at, pa.int64())), *(pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0, np.int64), pa.int64()) for c in ("a", "b", "word"))], ["name", "a", "b", "word"])
-
-    asked = written(names.mapInArrow(cut, "name string, a long, b long, word long"), "parts")
-    found = lookup(asked, words, "word", how="inner").groupBy("name").agg(F.collect_list(F.struct("a", "b", "c")).alias("known"))  # LONGEST for each letter at most
-    both = names.join(found, "name", "left")
+        for b in pieces(batches, "name", 1 << 15):
+            block = Block(column(b, "name"))
+            of, a, z = _spans(block.data, block.off)
+            lo = block.off[:-1][of]
+            word = spans_hash(block.data, lo + a, lo + z).view(np.int64)
+            key = column(b, "key").to_numpy()[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(z), pa.array(word)], ["key", "a", "b", "word"])
+
+    parts = written(names.mapInArrow(cut, "key long, a long, b long, word long"), "parts")
+    found = lookup(parts, words, "word", how="inner").groupBy("key").agg(F.collect_list(F.struct("a", "b", "c")).alias("known"))  # LONGEST for each of NAME letters at most
+    both = names.join(found, "key", "left").select("name", "known")
 
     def split(batches):
         for b in batches:
             out = []
             for name, known in zip(column(b, "name").to_pylist(), column(b, "known").to_pylist(), strict=True):
                 raw = name.encode()  # positions are those of bytes
-                place = {len(name[:k].encode()): k for k in range(len(name) + 1)} if len(raw) != len(name) else None
-                spans = [(r["a"], r["b"], r["c"]) for r in known or ()]
-                if place:
+                spans = sorted((r["a"], r["b"], r["c"]) for r in known or ())
+                if len(raw) != len(name):
+                    place = {len(name[:k].encode()): k for k in range(len(name) + 1)}
                     spans = [(place[a], place[z], c) for a, z, c in spans if a in place and z in place]
                 out.append(viterbi(name, spans, total))
             yield pa.RecordBatch.from_arrays([column(b, "name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
@@ -140,16 +153,23 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     return written(both.mapInArrow(split, "name string, words array<string>"), "segmented")
 
 
+def host_names(host: str | None) -> list[str]:
+    """The names of a host in order: runs of letters, cut after every ``NAME`` letters."""
+    return [m[k : k + NAME] for m in _names.findall(host or "") for k in range(0, len(m), NAME)]
+
+
 def path_tokens(path):
     """Tokens of a path: letters, A-Z lower-cased; each run of digits is one ``#``."""
     return F.filter(F.split(F.regexp_replace(lowered(path), "[0-9]+", "/#/"), r"[^a-z#\u0080-\x{10FFFF}]+"), lambda x: x != "")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", seeds: tuple[str, ...] = SEEDS, alpha: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", learn_if=None, alpha: float = 0.5) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule, verdict, score (probability of block by naive Bayes).
 
-    The longest fitting rule decides; without one, block is what naive Bayes finds likelier. A null URL or one without ``://``
-    has an empty host and path, no rule, and the verdict of a page without tokens. Null html adds no words. Without pages there
+    The longest fitting rule decides; without one, block is what naive Bayes finds likelier. It learns from the pages that rules decide and where
+    ``learn_if`` (a Column of ``pages``; default: all) holds, each with the tokens of its host and of its path, which are told apart. Tokens
+    that none of those has say nothing. Without such pages, or with those of one kind only, the prior decides; it is even without any, and allows.
+    A null URL or one without ``://`` has an empty host and path, no rule, and the verdict of a page without tokens. Null html adds no words. Without pages there
     are no rows; repeated rows stay; other columns don't matter.
     """
     tune(pages.sparkSession)
@@ -162,37 +182,48 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], [*b.schema.names, "rule", "ruled"])
 
     host, path = parts(F.col(url_col))
+    learns = F.lit(True) if learn_if is None else F.coalesce(learn_if, F.lit(False))
     pages = narrowed(pages, id_col, url_col, html_col)
-    judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.array_join(path_tokens(path), " ").alias("key"))
-    judged = written(judged.mapInArrow(match, f"id {kind}, host string, path string, key string, rule string, ruled string"), "urls")
-
+    judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"), F.array_join(path_tokens(path), " ").alias("key"), learns.alias("learn"))
+    judged = written(judged.mapInArrow(match, f"id {kind}, host string, path string, key string, learn boolean, rule string, ruled string"), "urls")
     words = page_words(pages, html_col)
-    hosts = written(judged.groupBy("host").agg(F.count("*").alias("n")), "hosts")
-    labels = written(hosts.select("host", F.posexplode(F.filter(F.split("host", r"[^a-z\u0080-\x{10FFFF}]+"), lambda x: x != "")).alias("at", "name")), "labels")
-    split = segmented(labels.select("name").distinct(), words)
-    tokens = lookup(labels, split, "name", how="inner").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("tokens"))
-    bad = F.coalesce(F.arrays_overlap("tokens", F.array(*(F.lit(s) for s in seeds))), F.lit(False))
-    hosts = written(hosts.join(tokens, "host", "left").withColumn("bad", bad), "hosts")
-
-    paths = written(lookup(judged.select("host", "key"), hosts.select("host", "bad"), "host").groupBy("key").agg(F.count(F.when(F.col("bad"), 1)).alias("bad"), F.count("*").alias("n")), "paths")
-    in_hosts = hosts.select(F.explode("tokens").alias("token"), F.when(F.col("bad"), F.col("n")).otherwise(0).alias("bad"), "n")
-    in_paths = paths.select(F.explode(F.filter(F.split("key", " "), lambda x: x != "")).alias("token"), "bad", "n")
-    seeded = pages.sparkSession.createDataFrame([(s, 5, 5) for s in seeds], "token string, bad long, n long")
-    counts = written(in_hosts.union(in_paths).union(seeded).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "tokens")
-    t = counts.agg(F.count("*").alias("v"), F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
-    good, v = t["n"] - t["bad"], t["v"]
-    weights = counts.select("token", (F.log((F.col("bad") + alpha) / (t["bad"] + alpha * v)) - F.log((F.col("n") - F.col("bad") + alpha) / (good + alpha * v))).alias("w"))
+
+    bad, good = (F.count(F.when(F.col("learn") & (F.col("ruled") == v), 1)) for v in ("block", "allow"))
+    hosts = written(judged.groupBy("host").agg(bad.alias("bad"), good.alias("good")), "hosts")
+    paths = written(judged.groupBy("key").agg(bad.alias("bad"), good.alias("good")), "paths")
+
+    def named(batches):
+        for b in batches:
+            found = [host_names(h) for h in column(b, "host").to_pylist()]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([column(b, "host").take(at), pa.array([n for x in found for n in x], pa.string()), column(b, "bad").take(at), column(b, "good").take(at)], ["host", "name", "bad", "good"])
+
+    in_hosts = written(hosts.mapInArrow(named, "host string, name string, bad long, good long"), "in_hosts")
+    names = written(in_hosts.groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "names")
+    split = segmented(names.select("name"), words)
+    in_names = written(names.join(split, "name").select("name", F.explode("words").alias("token"), "bad", "good"), "in_names")
+    in_paths = written(paths.select("key", F.explode(F.filter(F.split("key", " "), lambda x: x != "")).alias("token"), "bad", "good").withColumn("token", F.concat(F.lit("/"), "token")), "in_paths")
+
+    counts = in_names.select("token", "bad", "good").union(in_paths.select("token", "bad", "good")).groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = written(counts.where("bad + good > 0"), "tokens")
+    t = counts.agg(F.count("*").alias("v"), F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    r = paths.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    n_bad, n_good = r["bad"] or 0, r["good"] or 0
+    prior = math.log((n_bad + alpha) / (n_good + alpha))
+    if n_bad and n_good:
+        of = lambda c, n: F.log((F.col(c) + alpha) / (n + alpha * t["v"]))
+        weights = counts.select("token", (of("bad", t["bad"]) - of("good", t["good"])).alias("w"))
+    else:
+        weights = counts.select("token", F.lit(0.0).alias("w"))
     weights = written(weights, "weights")
-    r = paths.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
-    prior = math.log(((r["bad"] or 0) + 1) / ((r["n"] or 0) - (r["bad"] or 0) + 1))
 
-    def scored(rows: DataFrame, key: str, name: str) -> DataFrame:
-        rows = written(rows, name)
-        return written(lookup(rows, weights, "token", how="inner").groupBy(key).agg(F.sum("w").alias(name)), name)
+    def added(rows: DataFrame, by: DataFrame, on: str, key: str, name: str) -> DataFrame:
+        return written(lookup(rows, by, on, how="inner").groupBy(key).agg(F.sum("w").alias(name)), name)
 
-    by_host = scored(hosts.select("host", F.explode("tokens").alias("token")), "host", "by_host")
-    by_path = scored(paths.select("key", F.explode(F.filter(F.split("key", " "), lambda x: x != "")).alias("token")), "key", "by_path")
-    out = lookup(lookup(judged, by_host, "host"), by_path, "key")
+    by_name = added(in_names.select("name", "token"), weights, "token", "name", "by_name").withColumnRenamed("by_name", "w")
+    by_host = added(in_hosts.select("host", "name"), by_name, "name", "host", "by_host")
+    by_path = added(in_paths.select("key", "token"), weights, "token", "key", "by_path")
+    out = lookup(lookup(judged.drop("learn"), by_host, "host"), by_path, "key")
     odds = F.lit(prior) + F.coalesce("by_host", F.lit(0.0)) + F.coalesce("by_path", F.lit(0.0))
-    verdict = F.coalesce("ruled", F.when(odds > 0, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(F.round(odds, 9) > 0, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), (1 / (1 + F.exp(-odds))).alias("score"))
