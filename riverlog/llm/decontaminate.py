@@ -5,7 +5,8 @@ words (term, ascending positions), so that lists meet without a shuffle and a bl
 take the offset-adjusted posting list of their rarest term in the block and intersect it with those of the next rarer terms,
 all queries of a block at once; proximity queries look for a posting of each term in the same span of words.
 
-Terms are identified by 64-bit hashes. Benchmark items go to the tasks in batches of bounded size, so a benchmark
+Terms are identified by 64-bit hashes. Benchmark items go to the tasks as their words, 8 bytes each; windows are places among these, and in
+each block only those whose words all occur there become queries. Batches of items have a bounded size, so a benchmark
 of any size works; the index is built once for all batches.
 """
 
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import column, narrowed, pieces, tune, written
-from .textbytes import ALNUM, Block, U, covered, run_sums
+from .textbytes import ALNUM, Block, U, covered, mix, run_sums
 
-#: Bytes of text in a block of the index; bytes of benchmark text that are matched in one pass.
-BLOCK, BATCH = 3 << 20, 32 << 20
+#: Bytes of text in a block of the index; bytes of benchmark text that are matched in one pass: at most 2 million words, so about 60 MB, and
+#: 700,000 of ordinary length. Windows that are matched at a time.
+BLOCK, BATCH, WINDOWS = 3 << 20, 4 << 20, 1 << 16
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +150,8 @@ class Segment:
 
 
 class Queries:
-    """Distinct windows of items: ``terms``, ``size``; ``item_of``: the items (in ``names``) of window k at off[k]:off[k + 1]."""
+    """The words of items and their distinct windows: ``words`` (hashes), ``first`` and ``size`` of window k in them; ``item_of``: the items (in
+    ``names``) of window k at off[k]:off[k + 1]."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.names = sorted({i for i, _ in items})
@@ -159,26 +162,42 @@ class Queries:
         many = np.where(n > 0, n - size + 1, 0)
         first = np.repeat(words.off[:-1] - np.cumsum(many) + many, many) + np.arange(many.sum())
         size = np.repeat(size, many)
-        terms = np.zeros((len(first), window), np.uint64)
+        self.words, self.window = words.hash, window
+        key = size.astype(np.uint64)
         for k in range(window):
             has = size > k
-            terms[has, k] = words.hash[first[has] + k]
+            key[has] = mix(key[has] * U(3) + self.words[first[has] + k])
         item = np.repeat(np.array([number[i] for i, _ in items], np.int64), many)
-        row = np.concatenate([terms, size[:, None].astype(np.uint64)], axis=1)
-        row, of = np.unique(row, axis=0, return_inverse=True) if len(row) else (row, np.zeros(0, np.int64))
-        pair = np.unique(np.stack([of.ravel(), item]), axis=1) if len(item) else np.zeros((2, 0), np.int64)
-        self.terms, self.size = row[:, :-1], row[:, -1].astype(np.int64)
-        self.off, self.item_of = np.searchsorted(pair[0], np.arange(len(row) + 1)), pair[1]
+        _, once, of = np.unique(key, return_index=True, return_inverse=True)
+        pair = np.unique(of.ravel() * max(1, len(self.names)) + item)
+        self.first, self.size = first[once].astype(np.int32), size[once].astype(np.int8 if window < 128 else np.int32)
+        self.off = np.searchsorted(pair // max(1, len(self.names)), np.arange(len(once) + 1)).astype(np.int32)
+        self.item_of = (pair % max(1, len(self.names))).astype(np.int32)
+
+    def occurrences(self, segment: Segment):
+        """(window, position) arrays of all occurrences, some windows at a time."""
+        there = np.concatenate([[0], np.cumsum(segment.find(self.words) >= 0, dtype=np.int32)])
+        use = np.flatnonzero(there[self.first + self.size] - there[self.first] == self.size)
+        for lo in range(0, len(use), WINDOWS):
+            some = use[lo : lo + WINDOWS]
+            size = self.size[some].astype(np.int64)
+            terms = np.zeros((len(some), self.window), np.uint64)
+            for k in range(self.window):
+                has = size > k
+                terms[has, k] = self.words[self.first[some[has]] + k]
+            q, at = segment.phrases(terms, size)
+            yield some[q], at
 
     def matched(self, segment: Segment) -> tuple[np.ndarray, list[list[str]]]:
         """Which words of the block are inside an occurrence, and the items of each document in string order."""
-        q, at = segment.phrases(self.terms, self.size)
-        hit = covered(at, self.size[q], int(segment.off[-1]))
-        n = self.off[q + 1] - self.off[q]
-        items = self.item_of[np.repeat(self.off[q] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        pair = np.unique(np.repeat(segment.doc(at), n) * max(1, len(self.names)) + items)
+        hit, pairs = np.zeros(int(segment.off[-1]), bool), [np.zeros(0, np.int64)]
+        for q, at in self.occurrences(segment):
+            hit |= covered(at, self.size[q].astype(np.int64), len(hit))
+            n = (self.off[q + 1] - self.off[q]).astype(np.int64)
+            items = self.item_of[np.repeat(self.off[q] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            pairs.append(np.unique(np.repeat(segment.doc(at), n) * max(1, len(self.names)) + items))
         found: list[list[str]] = [[] for _ in segment.n_words]
-        for x in pair.tolist():
+        for x in np.unique(np.concatenate(pairs)).tolist():
             found[x // len(self.names)].append(self.names[x % len(self.names)])
         return hit, found
 
@@ -203,10 +222,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window is ``window`` consecutive words of an item, or all words of a shorter one; a word of a document is hit if it lies in
     an occurrence of a window. Items of one id are one item; items without id or text and those without words never match.
     Null and empty texts have no words and are clean; without documents there are no rows. Repeated documents stay.
+
+    The index is read once for each ``BATCH`` bytes of items. With several, only documents that a batch hits are shuffled.
     """
     tune(docs.sparkSession)
     index = build_index(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     parts = []
     for n, items in _batches(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(Queries(items, window))  # at most BATCH bytes of items
@@ -216,32 +238,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for r in range(b.num_rows):
                     segment = Segment(*(column(b, c)[r].as_buffer() for c in ("n_words", "terms", "ends", "gaps")))
                     hit, found = shared.value.matched(segment)
-                    ids = column(b, "ids")[r].values
-                    common = [ids, pa.array(segment.n_words)]
                     if n == 1:
                         n_hit = run_sums(hit, segment.off)
-                        yield pa.RecordBatch.from_arrays([*common, pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([sha256_of(x) for x in found]), pa.array(n_hit > 0)], ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                        yield pa.RecordBatch.from_arrays([column(b, "ids")[r].values, pa.array(segment.n_words), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([sha256_of(x) for x in found]), pa.array(n_hit > 0)], names)
                     else:
-                        mark = [np.packbits(hit[a:z]).tobytes() for a, z in zip(segment.off, segment.off[1:], strict=False)]
+                        some = [k for k, x in enumerate(found) if x]
+                        mark = [np.packbits(hit[segment.off[k] : segment.off[k + 1]]).tobytes() for k in some]
                         key = column(b, "block")[r].as_py()
-                        yield pa.RecordBatch.from_arrays([pa.array([f"{key}-{k}" for k in range(len(ids))]), *common, pa.array(mark, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["row", "id", "n_words", "mark", "items"])
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{key}-{k}" for k in some], pa.string()), pa.array(mark, pa.binary()), pa.array([found[k] for k in some], pa.list_(pa.string()))], ["row", "mark", "items"])
 
-        out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if n == 1 else f"row string, id {kind}, n_words long, mark binary, items array<string>"
+        out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if n == 1 else "row string, mark binary, items array<string>"
         parts.append(index.mapInArrow(run, out))
     if len(parts) == 1:
         return parts[0].withColumnRenamed("id", id_col)
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
-    met = every.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list("mark").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = every.groupBy("row").agg(F.collect_list("mark").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     def joined(batches):
         for b in batches:
-            n_hit = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])).sum()) if marks[0] else 0 for marks in column(b, "marks").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "n_words"), pa.array(n_hit, pa.int64()), column(b, "items")], ["id", "n_words", "n_hit", "items"])
+            n_hit = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])).sum()) for marks in column(b, "marks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(n_hit, pa.int64()), column(b, "items")], ["row", "n_hit", "items"])
 
-    out = met.mapInArrow(joined, f"id {kind}, n_words long, n_hit long, items array<string>")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    def every_row(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, key = column(b, "ids")[r].values, column(b, "block")[r].as_py()
+                n_words = np.frombuffer(column(b, "n_words")[r].as_buffer(), "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{key}-{k}" for k in range(len(ids))], pa.string()), ids, pa.array(n_words)], ["row", "id", "n_words"])
+
+    hits = written(met.mapInArrow(joined, "row string, n_hit long, items array<string>"), "hits")
+    out = index.select("block", "ids", "n_words").mapInArrow(every_row, f"row string, id {kind}, n_words long").join(hits, "row", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def find(index: DataFrame, queries: list[str], span: int | None = None) -> DataFrame:
