@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .joins import lookup
-from .store import column, narrowed, pieces, tune, written
+from .store import column, dealt, narrowed, pieces, tune, written
 from .textbytes import NOT_SPACE, Block, U, mix, xxh64
 
 #: Fingerprints in a bucket that are compared with each other in one task.
@@ -228,7 +228,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     fields = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
     keys = F.array(*(fields[x] * F.lit(1 << (edges[y + 1] - edges[y])) + fields[y] for x, y in combinations(range(parts), 2)))
     buckets = distinct.select("fp", F.posexplode(keys).alias("part", "key"))
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = dealt(distinct.sparkSession, distinct.count() * math.comb(parts, 2), 1 << 22)
     buckets = buckets.repartition(n, "part", "key").sortWithinPartitions("part", "key", "fp")
     found = written(buckets.mapInArrow(lambda it: _compare(it, radius), "kind int, a long, b long"), "buckets")
     hot = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
@@ -427,11 +427,13 @@ def in_blocks(rows: DataFrame, by: list[str], hot: DataFrame, most: int) -> Data
 def similar_links(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Candidates (a, b) among distinct texts (node: long, wide: binary, bands: array of long), as stars within each bucket or block of
     one: their components hold all pairs of a bucket that are within the radius."""
-    n, radius = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), wide_radius(similarity)
+    radius = wide_radius(similarity)
     keys = texts.select("node", F.posexplode("bands").alias("band", "key"))
     hot = written(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
     by = ["band", "key", "salt"]
     rows = in_blocks(texts.select("node", "wide", F.posexplode("bands").alias("band", "key")), by[:2], hot, CHUNK)
+    again = hot.agg(F.sum(F.col("n") * F.ceil(2 * F.col("n") / CHUNK))).first()[0] or 0  # rows of large buckets come once for each chunk
+    n = dealt(texts.sparkSession, texts.count() * BANDS + again, 1 << 20)
     return written(rows.repartition(n, *by).sortWithinPartitions(*by, "node").mapInArrow(lambda it: _compare_wide(it, radius), "a long, b long"), "similar")
 
 
@@ -534,7 +536,8 @@ def confirmed(rows: DataFrame, texts: DataFrame, candidates: DataFrame, similari
     hot = written(sets.groupBy("group").agg(F.sum("len").alias("n")).where(F.col("n") > SHINGLES), "hot")
     by = ["group", "salt"]
     blocks = in_blocks(sets.select("group", "node", "shingles"), by[:1], hot, SHINGLES)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = hot.agg(F.sum(F.col("n") * F.ceil(2 * F.col("n") / SHINGLES))).first()[0] or 0
+    n = dealt(rows.sparkSession, (sets.agg(F.sum("len")).first()[0] or 0) + again, 1 << 24)
     blocks = blocks.repartition(n, *by).sortWithinPartitions(*by, "node")
     return written(blocks.mapInArrow(lambda it: _confirm(it, similarity), "a long, b long"), "confirmed")
 

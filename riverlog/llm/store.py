@@ -50,8 +50,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a local temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a local temporary one. On a cluster it has to be set, as
+    executors wouldn't see each other's local folders."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="riverlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/riverlog-llm"
@@ -80,6 +83,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for ``rows`` rows: about ``each`` in one at most, and no fewer than the session's shuffle partitions. Those of an explicit
+    repartition are never raised by Spark itself."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def clear(spark: SparkSession) -> None:
     """Removes everything that this subpackage left in the shared folder; results not yet read are lost."""
     jvm = spark.sparkContext._jvm

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import encode_texts
-from .store import column, narrowed, new_dir, pieces, tune, written
+from .store import column, dealt, narrowed, new_dir, pieces, tune, written
 from .textbytes import U
 
 MAGIC = b"RLWM0001"
@@ -262,7 +262,7 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     ids, kind = encoded(docs, path, id_col, text_col, end_id, bits), "<u2" if bits <= 16 else "<u4"
     total = ids.agg(F.sum("n")).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD))
+    n = dealt(spark, total, SHARD)
     ids = ids.repartitionByRange(n, F.col("id").asc_nulls_first(), "row").sortWithinPartitions(F.col("id").asc_nulls_first(), "row")
 
     def run(batches):

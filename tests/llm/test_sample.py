@@ -1,9 +1,10 @@
 """Samples to learn from are bounded, whatever repeats; what is learned doesn't depend on a repeated id."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from riverlog.llm import langid, quality, sample, toxicity
+from riverlog.llm import langid, quality, sample, store, toxicity
 
 
 def hot(spark, n=3000):
@@ -63,3 +64,15 @@ def test_long_texts_are_decoded_like_short_ones():
     x = gen.normal(0, 1, (off[-1], len(quality.FEATURES)))
     model = quality.LineModel(gen.normal(0, 1, (len(quality.FEATURES), 2)), gen.normal(0, 2, (2, 2)), 0.5)
     assert (model.viterbi(x, off) == model._together(x @ model.w, off)).all()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), type("D", (dict,), {"set": dict.__setitem__})(conf)
+
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            store.shared_dir(Session(master))
+        assert store.shared_dir(Session(master, **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y/riverlog-llm"
+    assert store.shared_dir(Session("local[4]")).startswith("file:///")
