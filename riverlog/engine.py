@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,39 @@ from .plans.lower import ENVELOPE, Lowering, order, union
 from .plans.plan import compile_query, describe
 
 
+#: The counters of Spark's operators by what they count.
+_ROWS, _FILES, _BYTES, _MS = ("numOutputRows", "shuffleRecordsWritten"), ("numFiles",), ("filesSize", "dataSize", "shuffleBytesWritten"), ("pipelineTime", "scanTime", "sortTime", "aggTime", "buildTime")
+
+
+def ran_plan(frame: DataFrame) -> list[tuple]:
+    """Runs ``frame`` and reads the counters of its physical operators: (id, depth, operator, rows, files, bytes, ms). No row leaves the
+    executors."""
+    execution = frame._jdf.queryExecution()
+    began = time.perf_counter()
+    total = execution.toRdd().count()
+    out = [(0, 0, "Result", total, None, None, int(1000 * (time.perf_counter() - began)))]
+
+    def visit(node, depth: int) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan(), depth)
+        if kind.endswith("QueryStageExec"):
+            return visit(node.plan(), depth)
+        counters, found = node.metrics().iterator(), {}
+        while counters.hasNext():
+            pair = counters.next()
+            found[pair._1()] = pair._2().value()
+        if kind not in ("InputAdapter", "WholeStageCodegenExec", "AQEShuffleReadExec"):
+            out.append((len(out), depth, node.nodeName(), *(next((found[c] for c in names if c in found), None) for names in (_ROWS, _FILES, _BYTES, _MS))))
+            depth += 1
+        children = node.children()
+        for k in range(children.size()):
+            visit(children.apply(k), depth)
+
+    visit(execution.executedPlan(), 1)
+    return out
+
+
 class Engine:
     """``source``: ``sources.base.Topics`` or ``sources.store.LogStore``. asof_bucket_ns: the width
     of the time buckets in which as-of joins run; None: measured where a producer is too large for one task, 0: no buckets."""
@@ -22,7 +57,8 @@ class Engine:
     def query(self, text: str, limit: int = 0, offset: int = 0, skeleton: bool = False) -> DataFrame:
         """The result of a query, in order. limit and offset (0: none) apply on top of the query's own. skeleton: without payloads.
 
-        A truncate statement takes effect and gives an empty result; ``explain`` gives one row, ``plan``.
+        A truncate statement takes effect and gives an empty result; ``explain`` runs the query and gives one row, ``plan``: the plan, and what
+        each operator did (``analyze``).
         """
         statement = ql.parse(text)
         if isinstance(statement, ql.Truncate):
@@ -40,9 +76,15 @@ class Engine:
             out = out.select(*ENVELOPE)
         if statement.explain:
             physical = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
-            return self.spark.createDataFrame([(f"{describe(plan)}\n\n{physical}",)], "plan string")
+            ran = "\n".join(f"{'  ' * d}{name}: " + ", ".join(f"{v} {what}" for v, what in ((n, "rows"), (f, "files"), (b, "bytes"), (ms, "ms")) if v is not None) for _, d, name, n, f, b, ms in ran_plan(out))
+            return self.spark.createDataFrame([(f"{describe(plan)}\n\n{physical}\n\n{ran}",)], "plan string")
         return out
 
+    def analyze(self, text: str) -> DataFrame:
+        """Runs a query and gives a row for each operator of the plan that ran, the topmost first: id, depth, operator, rows, files, bytes and
+        ms, null where an operator doesn't count such. Row 0 is the result as a whole, with the time that it took."""
+        return self.spark.createDataFrame(ran_plan(self.query(text)), "id int, depth int, operator string, rows long, files long, bytes long, ms long")
+
     def ranked(self, text: str) -> DataFrame:
         """The result with ``rank``, the place of each row from 1: for results that go where order is lost. It sorts in one task,
         so it's for results of bounded size, such as those with a limit."""

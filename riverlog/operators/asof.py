@@ -107,21 +107,34 @@ def spread_rows(left: DataFrame, right: DataFrame, immediate: bool = False, with
     return bucketed_rows(left, right, width, immediate, within, keys) if width else rows(left, right, immediate, within, keys)
 
 
-def pairs(left: DataFrame, right: DataFrame, immediate: bool = False, within: int = 0, keys: tuple[str, ...] = ("producer",)) -> DataFrame:
-    """A row for each match: the key columns, ``left`` (struct of the left row) and ``right``. Equal schemas aren't needed."""
+def pairs(left: DataFrame, right: DataFrame, immediate: bool = False, within: int = 0, keys: tuple[str, ...] = ("producer",), bucket_ns: int | None = None) -> DataFrame:
+    """A row for each match: the key columns, ``left`` (struct of the left row) and ``right``. Equal schemas aren't needed.
+
+    bucket_ns: the width of time buckets, 0 for none; None: measured, as in ``spread_rows``. A bucket gets the last left row before it."""
     l = left.select(*keys, "log_time", F.lit(0).alias("side"), "branch", "sequence", F.struct(*(c for c in left.columns if c not in keys)).alias("left"))
     r = right.select(*keys, "log_time", F.lit(1).alias("side"), "branch", "sequence", F.struct(*(c for c in right.columns if c not in keys)).alias("right"))
-    w = Window.partitionBy(*keys).orderBy(*ORDER)
-    u = l.unionByName(r, allowMissingColumns=True).withColumns({"__before": F.lag("side").over(w), "left": F.last("left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    u = l.unionByName(r, allowMissingColumns=True)
+    width = bucket_width(left, right, keys) if bucket_ns is None else bucket_ns
+    by, c_left, c_before = keys, F.lit(None), F.lit(None)
+    if width:
+        by, order = (*keys, "__bucket"), F.struct(*ORDER)
+        u = u.withColumn("__bucket", F.expr(f"log_time div {int(width)}L"))
+        # one row for each bucket, combined map-side, as in bucketed_rows
+        summary = u.groupBy(*by).agg(F.max(order).alias("last"), F.max_by("left", F.when(F.col("side") == 0, order)).alias("l"))
+        over = Window.partitionBy(*keys).orderBy("__bucket")
+        u = u.join(summary.select(*by, F.last("l", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__c_left"), F.lag("last").over(over)["side"].alias("__c_before")), list(by))
+        c_left, c_before = F.col("__c_left"), F.col("__c_before")
+    w = Window.partitionBy(*by).orderBy(*ORDER)
+    u = u.withColumns({"__before": F.coalesce(F.lag("side").over(w), c_before), "left": F.coalesce(F.last("left", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), c_left)})
     out = u.where((F.col("side") == 1) & F.col("left").isNotNull() & _within(F.col("log_time"), F.col("left.log_time"), within))
     if immediate:
         out = out.where(F.col("__before") == 0)
     return out.select(*keys, "left", "right")
 
 
-def neighbor_pairs(left: DataFrame, right: DataFrame, within: int, keys: tuple[str, ...] = ("producer",)) -> DataFrame:
+def neighbor_pairs(left: DataFrame, right: DataFrame, within: int, keys: tuple[str, ...] = ("producer",), bucket_ns: int | None = None) -> DataFrame:
     """An extension: pairs in both directions. For each row of either side, the last row of the other side at or before it,
     less than ``within`` ns away; ``left_first`` says which of the two came first. Equal times give a pair of either kind."""
-    first = pairs(left, right, within=within, keys=keys).withColumn("left_first", F.lit(True))
-    other = pairs(right, left, within=within, keys=keys).select(*keys, F.col("right").alias("left"), F.col("left").alias("right"), F.lit(False).alias("left_first"))
+    first = pairs(left, right, within=within, keys=keys, bucket_ns=bucket_ns).withColumn("left_first", F.lit(True))
+    other = pairs(right, left, within=within, keys=keys, bucket_ns=bucket_ns).select(*keys, F.col("right").alias("left"), F.col("left").alias("right"), F.lit(False).alias("left_first"))
     return first.unionByName(other)

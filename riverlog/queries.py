@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions import trigrams
 from .operators import asof, stats
-from .operators.visibility import deduplicated, visible
+from .operators.visibility import deduplicated, masked, visible
 from .plans.lower import union
+from .sources import mcap
+from .sources.scratch import scratch_dir
+from .sources.store import LogStore
 from .sources.tables import driver_topics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +23,7 @@ DAY_NS = 86_400 * 10**9
 
 _EVENTS = """ev AS (SELECT epoch_ns(ts) AS log_time, CAST(user_id AS VARCHAR) AS producer, '/' || event_type AS topic, event_id AS sequence, value, event_type, props FROM events)"""
 _ORDERS = """od AS (SELECT epoch_ns(o_orderdate) AS log_time, o_orderstatus AS producer, '/orders' AS topic, o_orderkey AS sequence, o_custkey, o_totalprice, o_orderpriority FROM orders)"""
-_LINES = """li AS (SELECT epoch_ns(l_shipdate) AS log_time, l_returnflag AS producer, '/lineitem' AS topic, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS sequence, l_linenumber, l_quantity, l_extendedprice, l_linestatus FROM lineitem)"""
+_LINES = """li AS (SELECT epoch_ns(l_shipdate) AS log_time, l_returnflag AS producer, '/lineitem' AS topic, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice) AS sequence, l_linenumber, l_quantity, l_extendedprice, l_discount, l_linestatus FROM lineitem)"""
 _ROW = "log_time, producer, topic, sequence"
 
 QUERIES: dict[str, Query] = {}
@@ -62,14 +65,17 @@ _ql("scan_desc_limit", "from * /error desc limit 25;", f"WITH {_EVENTS} " + _top
 _ql("scan_multi_producer", "from 7, 8, 46 /view;", _events("'/view'", "producer IN ('7', '8', '46')"))
 _ql("scan_wildcard", "from * /orders;", f"WITH {_ORDERS} SELECT {_ROW} FROM od")
 _ql("scan_offset", "from * /signup limit 20 offset 1000;", f"WITH {_EVENTS} " + _top("SELECT * FROM ev WHERE topic = '/signup'", "log_time, producer, sequence", "LIMIT 20 OFFSET 1000"), ranked=True)
-_ql("scan_external_paging_ties", "from * /lineitem limit 40 offset 500;", f"WITH {_LINES} " + _top("SELECT * FROM li", "log_time, producer, sequence", "LIMIT 40 OFFSET 500"), ranked=True)
+register("scan_external_paging_ties", lambda s, d: engine(s, d).query("from * /lineitem limit 2000;", limit=40, offset=500).select(*ROW), f"WITH {_LINES} SELECT {_ROW} FROM (SELECT * FROM (SELECT * FROM li ORDER BY log_time, producer, sequence LIMIT 2000) ORDER BY log_time, producer, sequence LIMIT 40 OFFSET 500)")
 register("skeleton", lambda s, d: engine(s, d).query("from * /click where /click.value > 50;", skeleton=True).select(*ROW, "publish_time"), f"WITH {_EVENTS} SELECT {_ROW}, log_time AS publish_time FROM ev WHERE topic = '/click' AND value > 50")
 
 # predicates
 _SQL_OP = {"eq": "=", "lt": "<", "gt": ">", "le": "<=", "ge": ">=", "ne": "!="}
 for _name, _op in _SQL_OP.items():
     _ql(f"filter_{_name}_int", f"from * /lineitem where /lineitem.l_linenumber {_op} 4;", f"WITH {_LINES} SELECT {_ROW} FROM li WHERE l_linenumber {_op} 4")
-    _ql(f"filter_{_name}_float", f"from * /purchase where /purchase.value {_op} 50;", _events("'/purchase'", f"value {_op} 50"))
+    if _name == "eq":  # discounts repeat, values of purchases hardly do
+        _ql("filter_eq_float", "from * /lineitem where /lineitem.l_discount = 0.05;", f"WITH {_LINES} SELECT {_ROW} FROM li WHERE l_discount = 0.05")
+    else:
+        _ql(f"filter_{_name}_float", f"from * /purchase where /purchase.value {_op} 50;", _events("'/purchase'", f"value {_op} 50"))
     _ql(f"filter_{_name}_str", f"from * /orders where /orders.o_orderpriority {_op} '3-MEDIUM';", f"WITH {_ORDERS} SELECT {_ROW} FROM od WHERE o_orderpriority {_op} '3-MEDIUM'")
 _ql("filter_and", "from * /purchase as p where p.value > 10 and p.value < 20.5 and p.props ~ '7';", _events("'/purchase'", "value > 10 AND value < 20.5 AND regexp_matches(props, '7')"))
 _ql("filter_or", "from * /purchase as p where p.value > 200 or p.value < 1 or p.props = '{\"k\": 29}';", _events("'/purchase'", "value > 200 OR value < 1 OR props = '{\"k\": 29}'"))
@@ -130,8 +136,8 @@ def _sides(spark: SparkSession, sf_dir: str, left: str, right: str) -> tuple[Dat
     return tuple(source.frames(t)[0].withColumn("branch", F.lit(k)) for k, t in enumerate((left, right)))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = asof.pairs(*_sides(spark, sf_dir, "/signup", "/purchase"), within=DAY_NS)
+def _pairs(spark: SparkSession, sf_dir: str, bucket_ns: int | None = None) -> DataFrame:
+    out = asof.pairs(*_sides(spark, sf_dir, "/signup", "/purchase"), within=DAY_NS, bucket_ns=bucket_ns)
     return out.select("producer", F.col("left.sequence").alias("left_sequence"), F.col("right.sequence").alias("right_sequence"), (F.col("right.log_time") - F.col("left.log_time")).alias("gap_ns"), F.col("right.data.value").alias("right_value"))
 
 
@@ -142,8 +148,8 @@ register("asof_pairs", _pairs, f"""
     SELECT producer, ls AS left_sequence, sequence AS right_sequence, log_time - lt AS gap_ns, value AS right_value FROM m WHERE side = 1 AND ls IS NOT NULL AND log_time - lt < {DAY_NS}""")
 
 
-def _neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = asof.neighbor_pairs(*_sides(spark, sf_dir, "/signup", "/purchase"), within=DAY_NS)
+def _neighbors(spark: SparkSession, sf_dir: str, bucket_ns: int | None = None) -> DataFrame:
+    out = asof.neighbor_pairs(*_sides(spark, sf_dir, "/signup", "/purchase"), within=DAY_NS, bucket_ns=bucket_ns)
     return out.select("producer", F.col("left.sequence").alias("left_sequence"), F.col("right.sequence").alias("right_sequence"), "left_first")
 
 
@@ -155,6 +161,8 @@ def _neighbor_half(first: str, second: str, flag: str) -> str:
         WHERE topic = '{second}' AND ls IS NOT NULL AND log_time - lt < {DAY_NS}"""
 
 
+register("asof_pairs_bucketed", lambda s, d: _pairs(s, d, DAY_NS // 4), ORACLE_SQL["asof_pairs"])
+register("asof_neighbors_bucketed", lambda s, d: _neighbors(s, d, DAY_NS // 2), f"WITH {_EVENTS} {_neighbor_half('/signup', '/purchase', 'true')} UNION ALL {_neighbor_half('/purchase', '/signup', 'false')}")
 register("asof_neighbors_extension", _neighbors, f"WITH {_EVENTS} {_neighbor_half('/signup', '/purchase', 'true')} UNION ALL {_neighbor_half('/purchase', '/signup', 'false')}")
 
 
@@ -236,11 +244,11 @@ register("available_statistics", _available, "SELECT * FROM (VALUES ('header.key
 
 def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = driver_topics(spark, sf_dir).frames("/orders")[0]
-    signed = frame.withColumn("sig", trigrams.signature(F.col("data.o_orderpriority"))).groupBy("producer").agg(trigrams.merge("sig").alias("sig"))
-    return signed.select("producer", trigrams.may_contain(F.col("sig"), F.lit("3-MEDIUM")).alias("may_have_medium"))
+    signed = frame.withColumn("sig", trigrams.signature(F.col("data.o_orderpriority"))).groupBy(F.col("data.o_orderpriority").alias("priority")).agg(trigrams.merge("sig").alias("sig"))
+    return signed.select("priority", trigrams.may_contain(F.col("sig"), F.lit("3-MEDIUM")).alias("may_have_medium"))
 
 
-register("trigram_signature", _trigrams, "SELECT o_orderstatus AS producer, bool_or(o_orderpriority = '3-MEDIUM') AS may_have_medium FROM orders GROUP BY 1")
+register("trigram_signature", _trigrams, "SELECT o_orderpriority AS priority, o_orderpriority = '3-MEDIUM' AS may_have_medium FROM orders GROUP BY 1")
 
 
 # changes: versions are made from ids, as the tables have none
@@ -276,7 +284,7 @@ def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("dedupe_ingest", _dedupe, f"WITH {_LINES} SELECT DISTINCT log_time, producer, topic, CAST(l_linenumber AS BIGINT) AS sequence FROM li WHERE l_linenumber <> 3")
 
 # catalog
-register("list_topics", lambda s, d: s.createDataFrame([(t,) for t in driver_topics(s, d).topics()], "topic string"), "SELECT DISTINCT '/' || event_type AS topic FROM events UNION SELECT unnest(['/orders', '/lineitem'])")
+register("list_topics", lambda s, d: engine(s, d).tables().select("topic").distinct(), "SELECT DISTINCT '/' || event_type AS topic FROM events UNION SELECT unnest(['/orders', '/lineitem'])")
 register("list_producers", lambda s, d: engine(s, d).tables().select("producer").distinct(), "SELECT DISTINCT CAST(user_id AS VARCHAR) AS producer FROM events UNION SELECT o_orderstatus FROM orders UNION SELECT l_returnflag FROM lineitem")
 register("list_tables", lambda s, d: engine(s, d).tables().groupBy("topic").agg(F.count("*").alias("producers"), F.sum("messages").alias("messages")), "SELECT '/' || event_type AS topic, count(DISTINCT user_id) AS producers, CAST(count(*) AS BIGINT) AS messages FROM events GROUP BY 1 UNION ALL SELECT '/orders', count(DISTINCT o_orderstatus), count(*) FROM orders UNION ALL SELECT '/lineitem', count(DISTINCT l_returnflag), count(*) FROM lineitem")
 register("json_lines", lambda s, d: engine(s, d).json_lines("from * /purchase, /error where /purchase.value > 100 or /error.value > 100;"), f"""WITH {_EVENTS} SELECT '{{"topic":"' || topic || '","sequence":' || sequence || ',"log_time":' || log_time // 1000000000 || '.' || lpad(CAST(log_time % 1000000000 AS VARCHAR), 9, '0') || ',"publish_time":' || log_time // 1000000000 || '.' || lpad(CAST(log_time % 1000000000 AS VARCHAR), 9, '0') || ',"data":{{"value":' || value || ',"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"') || '"}}}}' AS line FROM ev WHERE topic IN ('/purchase', '/error') AND value > 100""")
@@ -291,6 +299,72 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sequence", F.col("data_0.label").alias("label"))
 
 
+# plans that ran
+register("explain_analyze", lambda s, d: engine(s, d).analyze("from * /purchase where /purchase.value > 50;").where("depth = 0").select("operator", "rows"), f"WITH {_EVENTS} SELECT 'Result' AS operator, count(*) AS rows FROM ev WHERE topic = '/purchase' AND value > 50")
+
+
+# a store that the query writes: purchases, then errors as a second schema of one topic; then a range delete and a truncation
+def _store(spark: SparkSession, sf_dir: str, change: bool = True) -> LogStore:
+    store, source = LogStore(spark, scratch_dir(spark, "store")), driver_topics(spark, sf_dir)
+    for topic, data in (("/purchase", F.struct("data.value")), ("/error", F.struct("data.value", "data.props"))):
+        rows = source.frames(topic)[0].select("producer", "sequence", "log_time", data.alias("data"))
+        store.ingest(rows, "/t", topic)
+    if change:
+        store.delete("7", "/t", 1_704_067_200 * 10**9, 1_705_000_000 * 10**9)
+        store.truncate("8", "/t")
+    return store
+
+
+_STORED = f"{_EVENTS}, st AS (SELECT log_time, producer, '/t' AS topic, sequence, value, topic AS name FROM ev WHERE topic IN ('/purchase', '/error'))"
+_LEFT = "producer <> '8' AND NOT (producer = '7' AND log_time >= 1704067200000000000 AND log_time < 1705000000000000000)"
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.compact("/t")
+    return union([f.select(*ROW, "version") for f in store.frames("/t")])
+
+
+def _by_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, change=False)
+    rows = Engine(spark, store).statrange("/t", 0, 2 * 10**18, 245_760 * stats.SECOND, quantiles=None).where("name = 'messageCount'")
+    names = spark.createDataFrame([(h, store.schema(h)["name"]) for h, _, _ in store._hashes("/t")], "schema_hash string, schema string")
+    return rows.join(names, "schema_hash").select("schema", "start", "value")
+
+
+register("compact_visible", _compacted, f"WITH {_STORED} SELECT {_ROW}, CASE name WHEN '/purchase' THEN 1 ELSE 2 END AS version FROM st WHERE {_LEFT}")
+register("export_since_version", lambda s, d: _store(s, d).export({"/t": 1}, 0, 2 * 10**18)[0].select(*ROW, F.get_json_object("data", "$.value").cast("double").alias("value")), f"WITH {_STORED} SELECT {_ROW}, value FROM st WHERE name = '/error' AND {_LEFT}")
+register("statistics_at_version", lambda s, d: Engine(s, _store(s, d)).statistics("/t", "value", ["count", "min", "max"], 0, 2_000_000_000, 245_760, at_version=1), f'WITH {_STORED} SELECT log_time // {_W2} * {_W2} AS "start", (log_time // {_W2} + 1) * {_W2} AS "end", count(value) AS count, min(value) AS min, max(value) AS max FROM st WHERE name = \'/purchase\' GROUP BY log_time // {_W2}')
+register("statistics_per_schema", _by_schema, f'WITH {_STORED} SELECT name AS schema, log_time // {_W2} * {_W2} AS "start", CAST(count(*) AS DOUBLE) AS value FROM st GROUP BY name, log_time // {_W2}')
+register("table_history", lambda s, d: _store(s, d).tables(history=True).groupBy("topic", "version").agg(F.count("*").alias("producers")), f"WITH {_STORED} SELECT topic, CASE name WHEN '/purchase' THEN 1 ELSE 2 END AS version, count(DISTINCT producer) AS producers FROM st GROUP BY topic, name")
+register("store_files", lambda s, d: _store(s, d).files("/t").groupBy("version", "bucket").agg(F.sum("rows").alias("rows"), F.min("low").alias("low"), F.max("high").alias("high")), f"WITH {_STORED} SELECT CASE name WHEN '/purchase' THEN 1 ELSE 2 END AS version, log_time // {_W2} AS bucket, CAST(count(*) AS BIGINT) AS rows, min(log_time) AS low, max(log_time) AS high FROM st GROUP BY name, log_time // {_W2}")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = driver_topics(spark, sf_dir)
+    both = union([source.frames(t)[0].select("log_time", "sequence") for t in ("/purchase", "/error", "/purchase")])
+    return masked(both, source.frames("/error")[0].where("data.value > 50"))
+
+
+register("masked_merge", _masked, f"WITH {_EVENTS} SELECT DISTINCT log_time, sequence FROM ev WHERE topic = '/purchase' OR topic = '/error' AND value <= 50")
+
+# message files that the query writes and imports
+_DEFINITION = "float64 value\nstring kind\nInner inner\n===\nMSG: p/Inner\nint64 user\nstring[] words\n"
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, folder = driver_topics(spark, sf_dir), scratch_dir(spark, "mcap")
+    data = F.struct(F.col("data.value").alias("value"), F.col("data.event_type").alias("kind"), F.struct(F.col("producer").cast("long").alias("user"), F.array("producer", F.lit("x")).alias("words")).alias("inner"))
+    mcap.write_files(source.frames("/purchase")[0].withColumn("data", data), f"{folder}/files", _DEFINITION, "p/Purchase")
+    store = LogStore(spark, folder)
+    mcap.import_file(store, f"{folder}/files/*.mcap", "robot")
+    out = Engine(spark, store).query("from robot /purchase where /purchase.value > 5;")
+    return out.select(*ROW, F.col("data_0.value").alias("value"), F.col("data_0.kind").alias("kind"), F.col("data_0.inner.user").alias("user"), F.col("data_0.inner.words")[0].alias("word"))
+
+
+register("mcap_import", _imported, f"WITH {_EVENTS} SELECT log_time, 'robot' AS producer, topic, sequence, value, event_type AS kind, CAST(producer AS BIGINT) AS user, producer AS word FROM ev WHERE topic = '/purchase' AND value > 5")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: purchases within a day after their user's last signup, in time order."""
     return engine(spark, sf_dir).query("from * /signup as s precedes /purchase as p by less than 1440 minutes where s.value > 0 or p.value > 10;").select(*ROW, F.coalesce("data_0.value", "data_1.value").alias("value"))

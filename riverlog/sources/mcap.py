@@ -1,4 +1,4 @@
-"""Reading and writing MCAP files (the public format for timestamped messages), uncompressed or with zstd chunks.
+"""Reading and writing MCAP files (the public format for timestamped messages), uncompressed or with zstd or lz4 chunks.
 
 ``read`` gives the messages of files as rows by the ``binaryFile`` reader, one file a task; ``messages`` is the parser, and ``Writer``
 makes files.
@@ -6,12 +6,17 @@ makes files.
 
 from __future__ import annotations
 
+import io
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +106,8 @@ def messages(raw: bytes) -> Iterator[Message]:
                     import zstandard
 
                     data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+                elif how == "lz4":
+                    data = pa.decompress(data, size, "lz4", asbytes=True)
                 elif how:
                     raise RiverlogError(f"chunks compressed with {how} can't be read")
                 if len(data) != size or crc and zlib.crc32(data) != crc:
@@ -111,10 +118,13 @@ def messages(raw: bytes) -> Iterator[Message]:
 
 
 class Writer:
-    """Collects messages and returns the bytes of a file. Equal schemas and channels are written once."""
+    """Writes messages to ``sink`` (anything with ``write``) chunk by chunk; without one, ``close`` returns the bytes of the file. Equal schemas
+    and channels are written once. compression: "zstd", "lz4" or "" for none."""
 
-    def __init__(self, profile: str = "ros1", chunk_bytes: int = 4 << 20, compression: str = "zstd"):
-        self.parts = [MAGIC, self._record(HEADER, self._text(profile) + self._text("riverlog"))]
+    def __init__(self, profile: str = "ros1", chunk_bytes: int = 4 << 20, compression: str = "zstd", sink=None):
+        self.sink = io.BytesIO() if sink is None else sink
+        self.kept = sink is None
+        self.sink.write(MAGIC + self._record(HEADER, self._text(profile) + self._text("riverlog")))
         self.chunk, self.size, self.times = [], 0, []
         self.chunk_bytes, self.compression = chunk_bytes, compression
         self.schemas: dict[tuple, int] = {}
@@ -154,13 +164,16 @@ class Writer:
             import zstandard
 
             packed = zstandard.compress(raw)
+        elif self.compression == "lz4":
+            packed = pa.compress(raw, "lz4", asbytes=True)
         times = self.times or [0]
-        self.parts.append(self._record(CHUNK, struct.pack("<QQQI", min(times), max(times), len(raw), zlib.crc32(raw)) + self._text(self.compression) + struct.pack("<Q", len(packed)) + packed))
+        self.sink.write(self._record(CHUNK, struct.pack("<QQQI", min(times), max(times), len(raw), zlib.crc32(raw)) + self._text(self.compression) + struct.pack("<Q", len(packed)) + packed))
         self.chunk, self.size, self.times = [], 0, []
 
-    def close(self) -> bytes:
+    def close(self) -> bytes | None:
         self._flush()
-        return b"".join([*self.parts, self._record(DATA_END, struct.pack("<I", 0)), self._record(FOOTER, struct.pack("<QQI", 0, 0, 0)), MAGIC])
+        self.sink.write(self._record(DATA_END, struct.pack("<I", 0)) + self._record(FOOTER, struct.pack("<QQI", 0, 0, 0)) + MAGIC)
+        return self.sink.getvalue() if self.kept else None
 
 
 SCHEMA_DDL = "topic string, sequence long, log_time long, publish_time long, schema_name string, schema_encoding string, definition string, message_encoding string, metadata map<string,string>, raw binary"
@@ -228,39 +241,95 @@ def _payload(kind: T.DataType, value):
     return value
 
 
-def import_file(store, path: str, producer: str) -> dict[str, int]:
-    """Ingests all ros1 messages of the MCAP files in ``path`` into a ``LogStore``; returns the last version of each topic."""
-    rows = read(store.spark, path)
-    kinds = rows.where("message_encoding like 'ros1%'").select("topic", "schema_name", "definition").distinct().collect()
-    return {r["topic"]: store.ingest(decoded(rows, r["topic"], r["definition"], producer), r["topic"], r["schema_name"], "ros1msg", r["definition"]) for r in sorted(kinds, key=lambda r: (r["topic"], r["definition"]))}
+def import_file(store, path: str, producer: str, skip_others: bool = False) -> dict[str, int]:
+    """Ingests all ros1 messages of the MCAP files in ``path`` into a ``LogStore``; returns the last version of each topic.
+
+    Files are parsed once, for all topics; the undecoded messages wait in a folder of the store, which is removed at the end.
+    Messages of other encodings can't be decoded: an error names them, unless ``skip_others``."""
+    spark = store.spark
+    staging = f"{store.base}/staging/{uuid.uuid4().hex}"
+    read(spark, path).withColumn("kind", F.xxhash64("topic", "definition", "message_encoding")).write.option("compression", "zstd").partitionBy("kind").parquet(staging)
+    try:
+        rows = spark.read.parquet(staging)
+        kinds = rows.groupBy("kind", "topic", "definition", "message_encoding").agg(F.max("schema_name").alias("name"), F.min("log_time").alias("low"), F.max("log_time").alias("high"), F.count("*").alias("n")).collect()
+        others = sorted((r["topic"], r["message_encoding"], r["n"]) for r in kinds if not r["message_encoding"].startswith("ros1"))
+        if others and not skip_others:
+            raise RiverlogError("messages that can't be decoded: " + ", ".join(f"{n} of topic {t} in {e or 'an unnamed encoding'}" for t, e, n in others))
+        out = {}
+        for r in sorted(kinds, key=lambda r: (r["topic"], r["definition"])):
+            if r["message_encoding"].startswith("ros1"):
+                mine = decoded(rows.where(F.col("kind") == r["kind"]), r["topic"], r["definition"], producer)
+                out[r["topic"]] = store.ingest(mine, r["topic"], r["name"], "ros1msg", r["definition"], (r["low"], r["high"] + 1))
+        return out
+    finally:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def _stream(uri: str):
+    """Writes to a local path or the URI of any file system that pyarrow knows."""
+    where, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+    where.create_dir(os.path.dirname(path), recursive=True)
+    with where.open_output_stream(path) as sink:
+        yield sink
 
 
 def write(frame: DataFrame, path: str, definition: str, schema_name: str = "", topic_data: str = "data") -> None:
-    """Writes a frame of one topic (topic, sequence, log_time, publish_time, payload) in its order to one local MCAP file.
+    """Writes a frame of one topic (topic, sequence, log_time, publish_time, payload) in its order to one MCAP file.
 
-    The rows stream through the driver, so this is for exports of a size that one file should have."""
+    The rows stream through the driver, a chunk of the file at a time. ``write_files`` writes many files from the executors."""
     fields = parse(definition)
-    out, kind = Writer(), frame.schema[topic_data].dataType
-    for r in frame.toLocalIterator():
-        out.add(r["topic"], r["sequence"], r["log_time"], encode(fields, _payload(kind, r[topic_data])), r["publish_time"], (schema_name, "ros1msg", definition.encode()))
-    with open(path, "wb") as f:
-        f.write(out.close())
+    kind = frame.schema[topic_data].dataType
+    with _stream(path) as sink:
+        out = Writer(sink=sink)
+        for r in frame.toLocalIterator():
+            out.add(r["topic"], r["sequence"], r["log_time"], encode(fields, _payload(kind, r[topic_data])), r["publish_time"], (schema_name, "ros1msg", definition.encode()))
+        out.close()
+
+
+def write_files(frame: DataFrame, folder: str, definition: str, schema_name: str = "", topic_data: str = "data") -> DataFrame:
+    """Writes a frame of one topic in the order of log_time to MCAP files below the URI ``folder``, one for each range of time, from the
+    executors; returns (part, path, messages) of the files. A task that runs again writes a file of another name, which isn't among them:
+    what counts is the stored table, which is written once."""
+    spark, fields, kind = frame.sparkSession, parse(definition), frame.schema[topic_data].dataType
+    rows = frame.select("topic", "sequence", "log_time", "publish_time", F.col(topic_data).alias("data"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, "log_time", "sequence").sortWithinPartitions("log_time", "sequence")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, count = TaskContext.get().partitionId(), 0
+        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}.mcap"
+        with _stream(path) as sink:
+            out = Writer(sink=sink)
+            for b in batches:
+                for r in b.to_pylist():
+                    out.add(r["topic"], r["sequence"], r["log_time"], encode(fields, _payload(kind, r["data"])), r["publish_time"], (schema_name, "ros1msg", definition.encode()))
+                count += b.num_rows
+            out.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "messages": pa.array([count], pa.int64())})
+
+    done = f"{folder}/_files"
+    rows.mapInArrow(run, "part int, path string, messages long").write.parquet(done)
+    return spark.read.parquet(done)
 
 
 def write_result(result: DataFrame, path: str, schemas: dict[str, tuple[str, str]]) -> None:
-    """Writes the result of a query, with all its topics and schemas, in its order to one local MCAP file.
+    """Writes the result of a query, with all its topics and schemas, in its order to one MCAP file.
 
     schemas: (name, definition) by schema hash, see ``schemas_of``. Equal schemas and channels are written once. A result without
     payloads gives messages without data, and schemas without definitions. As with ``write``, the rows stream through the driver."""
-    out = Writer()
     kinds = {f.name: f.dataType for f in result.schema.fields if f.name.startswith("data_")}
     fields = {h: parse(d) for h, (_, d) in schemas.items()} if kinds else {}
-    for r in result.toLocalIterator():
-        name, definition = schemas.get(r["schema_hash"], ("", ""))
-        data = next((encode(fields[r["schema_hash"]], _payload(kinds[c], r[c])) for c in kinds if r[c] is not None), b"")
-        out.add(r["topic"], r["sequence"], r["log_time"], data, r["publish_time"], (name, "ros1msg", definition.encode() if kinds else b""))
-    with open(path, "wb") as f:
-        f.write(out.close())
+    with _stream(path) as sink:
+        out = Writer(sink=sink)
+        for r in result.toLocalIterator():
+            name, definition = schemas.get(r["schema_hash"], ("", ""))
+            data = next((encode(fields[r["schema_hash"]], _payload(kinds[c], r[c])) for c in kinds if r[c] is not None), b"")
+            out.add(r["topic"], r["sequence"], r["log_time"], data, r["publish_time"], (name, "ros1msg", definition.encode() if kinds else b""))
+        out.close()
 
 
 def schemas_of(store) -> dict[str, tuple[str, str]]:

@@ -150,9 +150,99 @@ def test_buckets_are_pruned(spark, store):
 def test_compaction_keeps_what_is_visible(spark, store):
     play(spark, store, "w(10,50) w(20,30) d(25,60) w(40,45)")
     before = seen(store)
-    store.compact("t")
+    version = store.compact("t")
     assert seen(store) == before == [10, 20, 40, 45]
-    assert len(store.catalog("commits").where("topic = 't'").collect()) == 4
+    assert {r["version"] for f in store.frames("t") for r in f.collect()} <= {1, 2, 4} and version == 5
+    assert store.compact("nothing") is None
+
+
+def two_schemas(spark, store):
+    store.ingest(rows(spark, [k * SECOND for k in range(5)]), "t")
+    other = spark.createDataFrame([("p", k, (10 + k) * SECOND, ("a", "b")) for k in range(5)], "producer string, sequence long, log_time long, data struct<data:string,more:string>")
+    store.ingest(other, "t")
+    store.ingest(rows(spark, [BUCKET_NS + 5], first=50), "t")
+
+
+def test_compaction_of_two_schemas(spark, store):
+    two_schemas(spark, store)
+    store.ingest(rows(spark, [3 * SECOND], producer="q"), "t")
+    store.delete("p", "t", 1 * SECOND, 3 * SECOND)
+    store.truncate("q", "t")
+    want = [0, 3, 4, 10, 11, 12, 13, 14, BUCKET_NS // SECOND]
+    then = store.version()
+    assert seen(store) == want
+    first = store.compact("t")
+    assert seen(store) == want and seen(store, at_version=then) == want and seen(store, at_version=2) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
+    assert seen(store, min_version=2) == [BUCKET_NS // SECOND]  # a tail sees no row anew
+    assert store.export({"t": 4}, 0, EVER)[0] is None
+    # what comes after works on rewritten rows as on others
+    store.ingest(rows(spark, [3 * SECOND, 99 * SECOND], first=3), "t")  # one of them is there already
+    assert seen(store) == sorted([*want, 99])
+    store.delete("p", "t", 10 * SECOND, 12 * SECOND)
+    want = [0, 3, 4, 12, 13, 14, 99, BUCKET_NS // SECOND]
+    assert seen(store) == want
+    second = store.compact("t")
+    assert seen(store) == want and second > first and len(store.files("t").select("version").distinct().collect()) == 1
+    assert store.vacuum("t") and seen(store) == want and not store.vacuum("t")
+    store.truncate("p", "t")
+    assert seen(store) == []
+    store.compact("t")
+    assert seen(store) == [] and store.files("t").count() == 0
+    store.ingest(rows(spark, [7 * SECOND]), "t")
+    assert seen(store) == [7]
+
+
+def test_truncation_by_time_after_compaction(spark, store):
+    store.ingest(rows(spark, [10 * SECOND]), "t")
+    between = max(r["written_at"] for r in store.catalog("commits").collect())
+    store.ingest(rows(spark, [20 * SECOND], first=9), "t")
+    store.compact("t")
+    store.truncate("p", "t", between)
+    assert seen(store) == [20]
+
+
+@pytest.mark.parametrize("step", ["_write", "_append"])
+def test_compaction_that_fails_changes_nothing(spark, store, monkeypatch, step):
+    two_schemas(spark, store)
+    before, calls = seen(store), []
+
+    def fail(*args, original=getattr(LogStore, step)):
+        calls.append(args)
+        if len(calls) == (2 if step == "_write" else 1):  # after the files of the first schema; before the catalog's
+            raise OSError("lost")
+        return original(*args)
+
+    with monkeypatch.context() as m:
+        m.setattr(LogStore, step, fail)
+        with pytest.raises(OSError):
+            store.compact("t")
+    assert seen(store) == before and store.catalog("rewrites").count() == 0
+    store.compact("t")
+    assert seen(store) == before
+
+
+def test_commits_during_a_compaction_stay(spark, store, monkeypatch):
+    two_schemas(spark, store)
+    before, late = seen(store), []
+
+    def first(self, *args, original=LogStore._write):
+        if not late:
+            late.append(1)
+            store.ingest(rows(spark, [77 * SECOND], first=70), "t")
+        return original(self, *args)
+
+    monkeypatch.setattr(LogStore, "_write", first)
+    store.compact("t")
+    assert seen(store) == sorted([*before, 77])
+
+
+def test_each_writer_has_versions_of_its_own(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    others = [LogStore(spark, store.base.rpartition("/")[0]) for _ in range(8)]
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda s: s._claim(), others))
+    assert sorted(found) == list(range(1, 9))
 
 
 def test_failed_writes_stay_invisible(spark, store):
