@@ -89,25 +89,29 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _alone(docs: list[np.ndarray], counts: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """``rows`` without all but the first of texts that are likely copies: those with the same four min-hashes of (feature, count)."""
+def _sign(features: np.ndarray, counts: np.ndarray) -> tuple:
+    """Four min-hashes of (feature, count), which likely copies have in common."""
+    h = mix((features.astype(np.uint64) << U(32)) | counts.astype(np.uint64))
+    return tuple(int(mix(h * U(2) + U(2 * j + 1)).min()) for j in range(4)) if len(h) else ()
+
+
+def _alone(signs: list[tuple], rows: np.ndarray) -> np.ndarray:
+    """``rows`` without all but the first of texts that are likely copies."""
     seen, out = set(), []
     for k in rows.tolist():
-        h = mix((docs[k].astype(np.uint64) << U(32)) | counts[k].astype(np.uint64))
-        sign = tuple(int(mix(h * U(2) + U(2 * j + 1)).min()) for j in range(4)) if len(h) else ()
-        if sign not in seen:
-            seen.add(sign)
+        if signs[k] not in seen:
+            seen.add(signs[k])
             out.append(k)
     return np.array(out, np.int64)
 
 
-def _clear(docs: list[np.ndarray], counts: list[np.ndarray], pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
+def _clear(docs: list[np.ndarray], signs: list[tuple], pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
     """The features that stand out in positive texts by the likelihood-ratio statistic, at most ``FEATURES``, ascending."""
 
     def often(rows):
         return np.bincount(np.concatenate([docs[k] for k in rows] + [np.zeros(0, np.int32)]), minlength=1 << BITS).astype(np.float64)
 
-    pos, unl = _alone(docs, counts, pos), _alone(docs, counts, unl)
+    pos, unl = _alone(signs, pos), _alone(signs, unl)
     a, b = often(pos), often(unl)
     p, u, every = a / len(pos), b / len(unl), (a + b) / (len(pos) + len(unl))
 
@@ -168,15 +172,15 @@ def train(docs: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, t
     prior = float(np.clip(prior, 0.001, 0.9))
     if not len(pos) or not len(unl):
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(1), 0.0, np.zeros(1), np.full(1, prior))
-    rng = np.random.default_rng(seed)
+    rng, signs = np.random.default_rng(seed), [_sign(x, n) for x, n in zip(docs, counts, strict=True)]
     part_of, seen = [rng.permutation(len(r)) % folds for r in (pos, unl)], [np.zeros(len(r)) for r in (pos, unl)]
     for m in range(folds):
         used = [r[p != m] if (p != m).any() else r for r, p in zip((pos, unl), part_of, strict=True)]
-        x = _matrix(docs, counts, words, _clear(docs, counts, *used))
+        x = _matrix(docs, counts, words, _clear(docs, signs, *used))
         w, b = _descend(x, *used, prior, np.random.default_rng(seed + 1 + m), epochs, rate)
         for r, p, out in zip((pos, unl), part_of, seen, strict=True):
             out[p == m] = x[r[p == m]] @ w + b
-    buckets = _clear(docs, counts, pos, unl)
+    buckets = _clear(docs, signs, pos, unl)
     x = _matrix(docs, counts, words, buckets)
     found = [_descend(x, pos, unl, prior, np.random.default_rng(seed - m), epochs, rate) for m in range(models)]
     at, values = scale(*seen, prior)
