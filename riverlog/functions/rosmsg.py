@@ -118,28 +118,116 @@ def spark_type(fields: tuple[MsgField, ...]) -> T.StructType:
 
 
 class Decoder:
-    """Decodes ros1 bytes into tuples of ``fields``; with ``wanted`` (top-level names), others are skipped and null."""
+    """Decodes ros1 bytes into tuples of ``fields``. wanted: dotted names of fields to read, at any depth; a record's name stands for all of
+    it, and names inside arrays of records for each of their elements. The bytes of other fields are passed over, and they are null."""
 
     def __init__(self, fields: tuple[MsgField, ...], wanted: set[str] | None = None):
-        self.fields, self.wanted = fields, wanted
-        self.last = max((k for k, f in enumerate(fields) if wanted is None or f.name in wanted), default=-1)
+        self.count, self.steps = len(fields), _steps(fields, wanted)
 
     def __call__(self, data: bytes) -> tuple:
-        out, at = [None] * len(self.fields), 0
-        for k, f in enumerate(self.fields[: self.last + 1]):
-            value, at = _read(f, data, at)
-            if self.wanted is None or f.name in self.wanted:
-                out[k] = value
-        return tuple(out)
+        return _walk(self.steps, self.count, data, 0)[0]
+
+
+def _steps(fields: tuple[MsgField, ...], wanted: set[str] | None) -> list[tuple]:
+    """(place, reader, passer) up to the last field that is read; one of the two is None."""
+    heads = {w.split(".")[0] for w in wanted or ()}
+    if unknown := heads - {f.name for f in fields}:
+        raise DefinitionError(f"no such field: {', '.join(sorted(unknown))}")
+    out = []
+    for k, f in enumerate(fields):
+        below = {w[len(f.name) + 1 :] for w in wanted or () if w.startswith(f.name + ".")}
+        if wanted is None or f.name in wanted:
+            out.append((k, lambda data, at, f=f: _read(f, data, at), None))
+        elif not below:
+            out.append((k, None, _passer(f)))
+        elif f.record is None:
+            raise DefinitionError(f"{f.name} has no fields")
+        else:
+            out.append((k, _part(f, _steps(f.record, below)), None))
+    while out and out[-1][1] is None:
+        out.pop()
+    return out
+
+
+def _walk(steps: list[tuple], count: int, data: bytes, at: int) -> tuple[tuple, int]:
+    out = [None] * count
+    for k, read, pass_over in steps:
+        if read is None:
+            at = pass_over(data, at)
+        else:
+            out[k], at = read(data, at)
+    return tuple(out), at
+
+
+def _part(f: MsgField, steps: list[tuple]):
+    """A reader of some fields of a record, or of each record of an array."""
+    rest = [_passer(g) for g in f.record[steps[-1][0] + 1 :]]
+
+    def one(data: bytes, at: int):
+        value, at = _walk(steps, len(f.record), data, at)
+        for pass_over in rest:
+            at = pass_over(data, at)
+        return value, at
+
+    def many(data: bytes, at: int):
+        n, at = _length(f, data, at)
+        out = []
+        for _ in range(n):
+            value, at = one(data, at)
+            out.append(value)
+        return out, at
+
+    return one if f.size is None else many
+
+
+def _length(f: MsgField, data: bytes, at: int) -> tuple[int, int]:
+    """The elements of an array, and where they start."""
+    return (f.size, at) if f.size else (struct.unpack_from("<I", data, at)[0], at + 4)
+
+
+def _element_width(f: MsgField) -> int | None:
+    """The bytes of a value, of one element in arrays; None where values differ."""
+    if f.record is not None:
+        widths = [_width(g) for g in f.record]
+        return None if None in widths else sum(widths)
+    code = PRIMITIVES[f.base][0]
+    return struct.calcsize(f"<{code}") if code else None
+
+
+def _width(f: MsgField) -> int | None:
+    one = _element_width(f)
+    return None if one is None or f.size == 0 else one * (f.size or 1)
+
+
+def _passer(f: MsgField):
+    """From the start of a field's bytes to their end. Values of a fixed width take no look at the bytes."""
+    one, whole = _element_width(f), _width(f)
+    if whole is not None:
+        return lambda data, at: at + whole
+    inner = [_passer(g) for g in f.record or ()]
+
+    def element(data: bytes, at: int) -> int:
+        if f.record is None:
+            return at + 4 + struct.unpack_from("<I", data, at)[0]
+        for pass_over in inner:
+            at = pass_over(data, at)
+        return at
+
+    def array(data: bytes, at: int) -> int:
+        n, at = _length(f, data, at)
+        if one is not None:
+            return at + n * one
+        for _ in range(n):
+            at = element(data, at)
+        return at
+
+    return element if f.size is None else array
 
 
 def _read(f: MsgField, data: bytes, at: int):
     if f.size is None:
         return _one(f, data, at)
-    n = f.size
-    if not n:
-        (n,) = struct.unpack_from("<I", data, at)
-        at += 4
+    n, at = _length(f, data, at)
     if f.record is None and f.base in ("uint8", "byte", "char"):
         if at + n > len(data):
             raise RiverlogError("the message is too short")

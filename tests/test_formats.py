@@ -173,3 +173,35 @@ def test_results_of_several_topics(spark, tmp_path):
     assert [(m.topic, m.log_time) for m in bare] == [(m.topic, m.log_time) for m in got] and {(m.data, m.definition) for m in bare} == {(b"", b"")}
     mcap.write_result(engine.query("from robot topic-0 limit 0;"), str(tmp_path / "d.mcap"), mcap.schemas_of(store))
     assert list(mcap.messages((tmp_path / "d.mcap").read_bytes())) == []
+
+
+NESTED = "string head\nInner one\nInner[] many\nInner[2] two\nint32 last\n===\nMSG: p/Inner\nfloat64[] d\nstring name\nuint8[] raw\nint16 n\n"
+
+
+@pytest.mark.parametrize("wanted", [{"one.n"}, {"many.name"}, {"two.raw", "head"}, {"one", "many.n", "last"}, {"one.d", "two"}])
+def test_nested_projection(wanted):
+    inner = [([1.5] * k, "x" * k, bytes(k), k) for k in range(4)]
+    values = ("head", inner[1], inner, inner[2:], 7)
+    fields = parse(NESTED)
+
+    def chosen(fields, values, under=""):
+        out = []
+        for f, v in zip(fields, values, strict=True):
+            name = under + f.name
+            if name in wanted:
+                out.append(v)
+            elif not any(w.startswith(name + ".") for w in wanted):
+                out.append(None)
+            elif f.size is None:
+                out.append(chosen(f.record, v, name + "."))
+            else:
+                out.append([chosen(f.record, x, name + ".") for x in v])
+        return tuple(out)
+
+    assert Decoder(fields, wanted)(encode(fields, values)) == chosen(fields, values)
+
+
+@pytest.mark.parametrize("name", ["none", "one.none", "last.x"])
+def test_unknown_projection(name):
+    with pytest.raises(DefinitionError):
+        Decoder(parse(NESTED), {name})
