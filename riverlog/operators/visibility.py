@@ -33,11 +33,39 @@ def visible(rows: DataFrame, deletes: DataFrame | None = None, truncations: Data
     return rows
 
 
-def deduplicated(batch: DataFrame, stored: DataFrame | None = None, key: tuple[str, ...] = KEY) -> DataFrame:
-    """One row of ``batch`` for each key that ``stored`` doesn't have; of repeated keys the row with the least publish_time stays."""
-    least = batch.groupBy(*key).agg(F.min_by(F.struct(*(F.col(c) for c in batch.columns)), F.struct("publish_time", F.xxhash64(*(F.col(c) for c in batch.columns)))).alias("__row"))
-    one = least.select("__row.*")
-    return one if stored is None else one.join(stored.select(*key), list(key), "left_anti")
+def _same(left: DataFrame, right: DataFrame, key: tuple[str, ...]):
+    """Equality of keys, in which null equals null."""
+    out = left[key[0]].eqNullSafe(right[key[0]])
+    for c in key[1:]:
+        out = out & left[c].eqNullSafe(right[c])
+    return out
+
+
+def deduplicated(batch: DataFrame, stored: DataFrame | None = None, key: tuple[str, ...] = KEY, unique: bool = False) -> DataFrame:
+    """One row of ``batch`` for each key that ``stored`` doesn't have; of repeated keys the row with the least publish_time stays.
+
+    Keys are compared first, in jobs that read nothing else, so that of up to ``BROADCAST_ROWS`` repeated or stored keys only the rows with these are
+    shuffled, and no other payload is. unique: the caller knows that no key of the batch is repeated.
+    """
+
+    def least(rows: DataFrame) -> DataFrame:
+        row = F.struct(*(F.col(c) for c in rows.columns))
+        return rows.groupBy(*key).agg(F.min_by(row, F.struct("publish_time", F.xxhash64(*(F.col(c) for c in rows.columns)))).alias("__row")).select("__row.*")
+
+    if not unique:
+        again = batch.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+        n = again.count()
+        if n > BROADCAST_ROWS:
+            batch = least(batch)
+        elif n:
+            again = F.broadcast(again)
+            one = least(batch.join(again, _same(batch, again, key), "left_semi"))
+            batch = batch.join(again, _same(batch, again, key), "left_anti").unionByName(one)
+    if stored is None:
+        return batch
+    there = batch.select(*key).join(stored.select(*key), list(key), "left_semi").distinct()
+    n = there.count()
+    return batch.join(_small(there, n), list(key), "left_anti") if n else batch
 
 
 def masked(rows: DataFrame, mask: DataFrame, key: tuple[str, ...] = ("log_time", "sequence")) -> DataFrame:

@@ -201,8 +201,8 @@ _ARROW = pa.schema([("topic", pa.string()), ("sequence", pa.int64()), ("log_time
 
 
 def decoded(rows: DataFrame, topic: str, definition: str, producer: str, wanted: list[str] | None = None) -> DataFrame:
-    """The messages of one topic and definition with their payload: rows that ``LogStore.ingest`` takes. wanted: top-level fields to
-    decode; others are null."""
+    """The messages of one topic and definition with their payload: rows that ``LogStore.ingest`` takes. wanted: dotted names of
+    fields to decode, at any depth; others are null."""
     fields = parse(definition)
     kind = spark_type(fields)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -251,7 +251,7 @@ def import_file(store, path: str, producer: str, skip_others: bool = False) -> d
     read(spark, path).withColumn("kind", F.xxhash64("topic", "definition", "message_encoding")).write.option("compression", "zstd").partitionBy("kind").parquet(staging)
     try:
         rows = spark.read.parquet(staging)
-        kinds = rows.groupBy("kind", "topic", "definition", "message_encoding").agg(F.max("schema_name").alias("name"), F.min("log_time").alias("low"), F.max("log_time").alias("high"), F.count("*").alias("n")).collect()
+        kinds = rows.groupBy("kind", "topic", "definition", "message_encoding").agg(F.max("schema_name").alias("name"), F.min("log_time").alias("low"), F.max("log_time").alias("high"), F.count("*").alias("n"), F.count_distinct("log_time", "sequence").alias("keys")).collect()
         others = sorted((r["topic"], r["message_encoding"], r["n"]) for r in kinds if not r["message_encoding"].startswith("ros1"))
         if others and not skip_others:
             raise RiverlogError("messages that can't be decoded: " + ", ".join(f"{n} of topic {t} in {e or 'an unnamed encoding'}" for t, e, n in others))
@@ -259,7 +259,7 @@ def import_file(store, path: str, producer: str, skip_others: bool = False) -> d
         for r in sorted(kinds, key=lambda r: (r["topic"], r["definition"])):
             if r["message_encoding"].startswith("ros1"):
                 mine = decoded(rows.where(F.col("kind") == r["kind"]), r["topic"], r["definition"], producer)
-                out[r["topic"]] = store.ingest(mine, r["topic"], r["name"], "ros1msg", r["definition"], (r["low"], r["high"] + 1))
+                out[r["topic"]] = store.ingest(mine, r["topic"], r["name"], "ros1msg", r["definition"], (r["low"], r["high"] + 1), unique=r["keys"] == r["n"])
         return out
     finally:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)

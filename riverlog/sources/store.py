@@ -13,9 +13,11 @@ invisible; readers need no lock. Two writers of the same keys at one time may bo
 from __future__ import annotations
 
 import json
+import os
 import time
 from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,7 @@ _CATALOG = {
     "producers": "version long, producer string, topic string",
     "schemas": "hash string, name string, encoding string, definition string, spark_type string",
     "deletes": "producer string, topic string, start_ns long, end_ns long, version long",
-    "truncations": "producer string, topic string, version long, truncated_at long",
+    "truncations": "producer string, topic string, version long, truncated_at long, made_at_version long",
 }
 
 
@@ -68,17 +70,35 @@ class LogStore:
 
     def version(self) -> int:
         """The highest version in use."""
-        every = [self.catalog(n).agg(F.max("version")).first()[0] or 0 for n in ("commits", "rewrites", "deletes", "truncations")]
-        return max(every)
+        columns = (("commits", "version"), ("rewrites", "version"), ("deletes", "version"), ("truncations", "version"), ("truncations", "made_at_version"))
+        return max(self.catalog(n).agg(F.max(c)).first()[0] or 0 for n, c in columns)
+
+    def _create(self, path: str) -> bool:
+        """Creates an empty file; False if it's there already. Hadoop's local file system looks first and creates then, so local files are
+        created by the operating system."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        uri = fs.makeQualified(p).toUri()
+        if uri.getScheme() == "file":
+            os.makedirs(os.path.dirname(uri.getPath()), exist_ok=True)
+            try:
+                os.close(os.open(uri.getPath(), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            return fs.createNewFile(p)
+        except Py4JJavaError as e:  # another writer was faster between Hadoop's look and its creation
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
 
     def _claim(self) -> int:
         """The next version, for this writer alone: the file system lets just one create its file."""
-        jvm, version = self.spark.sparkContext._jvm, self.version() + 1
-        while True:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/catalog/versions/{version}")
-            if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(p):
-                return version
+        version = self.version() + 1
+        while not self._create(f"{self.base}/catalog/versions/{version}"):
             version += 1
+        return version
 
     def topics(self) -> list[str]:
         return sorted(r[0] for r in self.catalog("commits").select("topic").distinct().collect())
@@ -140,7 +160,7 @@ class LogStore:
         """Visible rows. min_version: only newer ones; at_version: as the store was then; live: of these versions (as ``_hashes`` gives them)."""
         deletes, cuts = (self.catalog(n).where(F.col("topic") == topic) for n in ("deletes", "truncations"))
         if at_version is not None:
-            deletes, cuts = (x.where(F.col("version") <= at_version) for x in (deletes, cuts))
+            deletes, cuts = deletes.where(F.col("version") <= at_version), cuts.where(F.coalesce("made_at_version", "version") <= at_version)
         counts = (deletes.count(), cuts.count())
         out = []
         for rows in self.stored(topic, between, at_version=at_version, live=live):
@@ -163,10 +183,10 @@ class LogStore:
         spread.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
         return self.spark.read.schema(new.schema).parquet(path)
 
-    def ingest(self, rows: DataFrame, topic: str, name: str = "", encoding: str = "", definition: str | None = None, between: Between = None) -> int:
+    def ingest(self, rows: DataFrame, topic: str, name: str = "", encoding: str = "", definition: str | None = None, between: Between = None, unique: bool = False) -> int:
         """Adds rows (producer, sequence, log_time, data, optionally publish_time and size_bytes) that aren't there yet, and
         returns the version. A visible row with the same (producer, log_time, sequence) keeps a new one out; late rows are welcome.
-        between: a range of ns that has all rows, where it is known; else the rows are read for it."""
+        between: a range of ns that has all rows, where it is known; else the rows are read for it. unique: no key is repeated in ``rows``."""
         batch = enveloped(rows.drop("version", "topic", "schema_hash"), topic, definition)
         hash_, version = schema_hash(batch.schema["data"].dataType, definition), self._claim()
         # stored rows that can be the same lie in the batch's range of time: the buckets of other times aren't read
@@ -177,7 +197,7 @@ class LogStore:
         stored = old[0] if old else None
         for f in old[1:]:
             stored = stored.union(f)
-        written = self._write(deduplicated(batch, stored).drop("version"), topic, hash_, version)
+        written = self._write(deduplicated(batch, stored, unique=unique).drop("version"), topic, hash_, version)
         producers = [(version, r[0], topic) for r in written.select("producer").distinct().toLocalIterator()]
         if hash_ not in {h for h, _, _ in self._hashes(topic)}:
             self._append("schemas", [(hash_, name, encoding, definition or batch.schema["data"].dataType.simpleString(), batch.schema["data"].dataType.json())])
@@ -193,11 +213,12 @@ class LogStore:
         return version
 
     def truncate(self, producer: str, topic: str, time_ns: int | None = None) -> int:
-        """Hides what was written at or before ``time_ns`` (wall clock), by default all that is stored now."""
+        """Hides what was written at or before ``time_ns`` (wall clock), by default all that is stored now, and returns the last version that
+        it hides. The truncation has a later version of its own, before which readers don't see it."""
         commits = self.catalog("commits").where(F.col("topic") == topic)
         commits = commits if time_ns is None else commits.where(F.col("written_at") <= time_ns)
-        version = commits.agg(F.max("version")).first()[0] or 0
-        self._append("truncations", [(producer, topic, version, time.time_ns() if time_ns is None else time_ns)])
+        version, made = commits.agg(F.max("version")).first()[0] or 0, self._claim()
+        self._append("truncations", [(producer, topic, version, time.time_ns() if time_ns is None else time_ns, made)])
         return version
 
     def export(self, topics: dict[str, int], start_ns: int, end_ns: int, producers: list[str] | None = None) -> tuple[DataFrame | None, dict[str, int]]:

@@ -292,3 +292,12 @@ def test_ranges_without_a_range():
     assert without_range([(0, 10)], 3, 5) == [(0, 3), (5, 10)]
     assert without_range([(0, 10)], 0, 10) == [] and without_range([(0, 10)], 10, 20) == [(0, 10)]
     assert without_range([(0, 4), (6, 9)], 3, 7) == [(0, 3), (7, 9)]
+
+
+def test_deduplication_of_keys(spark):
+    schema = "producer string, topic string, log_time long, sequence long, publish_time long, x string"
+    batch = spark.createDataFrame([("p", "/t", 1, 1, 9, "later"), ("p", "/t", 1, 1, 3, "first"), ("p", "/t", 2, 1, 1, "stored"), (None, "/t", 3, None, 2, "null"), (None, "/t", 3, None, 1, "null first"), ("q", "/t", 4, 1, 1, "alone")], schema)
+    stored = spark.createDataFrame([("p", "/t", 2, 1), ("p", "/t", 9, 9), ("p", "/t", 9, 9)], "producer string, topic string, log_time long, sequence long")
+    assert sorted(r["x"] for r in deduplicated(batch, stored).collect()) == ["alone", "first", "null first"]
+    assert sorted(r["x"] for r in deduplicated(batch.where("x in ('stored', 'alone')"), unique=True).collect()) == ["alone", "stored"]
+    assert deduplicated(batch.limit(0), stored).count() == 0
