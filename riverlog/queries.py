@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import trigrams
+from .functions.rosmsg import parse, spark_type
+from .functions.schema import flatten
 from .operators import asof, stats
-from .operators.visibility import deduplicated, masked, visible
+from .operators.visibility import deduplicated, masked, visible, without_range
 from .plans.lower import union
 from .sources import mcap
+from .sources.base import Topics
 from .sources.scratch import scratch_dir
-from .sources.store import LogStore
+from .sources.store import LogStore, databases
 from .sources.tables import driver_topics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -251,6 +254,21 @@ def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("trigram_signature", _trigrams, "SELECT o_orderpriority AS priority, o_orderpriority = '3-MEDIUM' AS may_have_medium FROM orders GROUP BY 1")
 
 
+# paging from outside, results without rows, kinds of values that the tables' own queries don't meet
+register("external_paging", lambda s, d: engine(s, d).query("from * /orders;", limit=250, offset=1000).select(*ROW), f"WITH {_ORDERS} SELECT {_ROW} FROM od ORDER BY log_time, producer, sequence LIMIT 250 OFFSET 1000")
+register("empty_result", lambda s, d: engine(s, d).query("from * /orders limit 0;").agg(F.count("*").alias("rows")), "SELECT CAST(0 AS BIGINT) AS rows")
+_ql("filter_eq_float_found", "from * /lineitem where /lineitem.l_quantity = 18.0;", f"WITH {_LINES} SELECT {_ROW} FROM li WHERE l_quantity = 18.0")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = driver_topics(spark, sf_dir).frames("/orders")[0]
+    flags = rows.select("log_time", "producer", "sequence", F.struct((F.col("data.o_totalprice") > 1000).alias("large"), (F.col("data.o_custkey") % 2 == 0).alias("even")).alias("data"))
+    return Engine(spark, Topics().add("/flags", flags)).query("from * /flags as f where f.large = true and f.even != true;").select("log_time", "producer", "sequence")
+
+
+register("filter_bool", _flags, f"WITH {_ORDERS} SELECT log_time, producer, sequence FROM od WHERE o_totalprice > 1000 AND o_custkey % 2 <> 0")
+
+
 # changes: versions are made from ids, as the tables have none
 def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = driver_topics(spark, sf_dir)
@@ -292,8 +310,6 @@ register("array_element", lambda s, d: _elements(s, d), "SELECT vec_id AS sequen
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources.base import Topics
-
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("log_time"), F.lit("v").alias("producer"), F.col("vec_id").alias("sequence"), F.struct(F.col("embedding"), F.col("label")).alias("data"))
     out = Engine(spark, Topics().add("/vectors", rows)).query("from v /vectors as x where x.embedding[3] > 0.05 and x.embedding[0] < 0.1;")
     return out.select("sequence", F.col("data_0.label").alias("label"))
@@ -346,18 +362,75 @@ def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(both, source.frames("/error")[0].where("data.value > 50"))
 
 
+# the same store at versions, by ranges of time, and with rows that come late or again
+register("store_at_version", lambda s, d: union([f.select(*ROW, "version") for f in _store(s, d).frames("/t", at_version=2)]), f"WITH {_STORED} SELECT {_ROW}, CASE name WHEN '/purchase' THEN 1 ELSE 2 END AS version FROM st")
+register("store_since_version", lambda s, d: union([f.select(*ROW) for f in _store(s, d).frames("/t", min_version=1)]), f"WITH {_STORED} SELECT {_ROW} FROM st WHERE name = '/error' AND {_LEFT}")
+register("store_between", lambda s, d: Engine(s, _store(s, d)).query("from * between '2024-01-05' and '2024-01-12T12:00:00' /t where /t.value > 20;").select(*ROW), f"WITH {_STORED} SELECT {_ROW} FROM st WHERE value > 20 AND {_LEFT} AND log_time >= epoch_ns(TIMESTAMP '2024-01-05') AND log_time < epoch_ns(TIMESTAMP '2024-01-12 12:00:00')")
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, rows = LogStore(spark, scratch_dir(spark, "store")), driver_topics(spark, sf_dir).frames("/purchase")[0].select("producer", "sequence", "log_time", "data")
+    store.ingest(rows.where(F.col("log_time") >= _MIDDLE), "/t")
+    store.ingest(rows.where(F.col("log_time") < _MIDDLE + DAY_NS), "/t")  # earlier rows come later, a day of them again
+    store.ingest(rows.union(rows), "/t")
+    return Engine(spark, store).query("from * /t;").select(*ROW).join(union([f.select("producer", "sequence", "version") for f in store.frames("/t")]), ["producer", "sequence"])
+
+
+_MIDDLE = 1_705_000_000 * 10**9
+register("store_late_data", _late, f"WITH {_EVENTS} SELECT log_time, producer, '/t' AS topic, sequence, CASE WHEN log_time >= {_MIDDLE} THEN 1 ELSE 2 END AS version FROM ev WHERE topic = '/purchase'")
+
+
+def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, change=False)
+    found = [store.schema(r["schema_hash"]) for r in store.catalog("commits").select("schema_hash").distinct().collect()]
+    return spark.createDataFrame([(x["name"], x["encoding"], x["definition"]) for x in found], "name string, encoding string, definition string")
+
+
+register("schema_by_hash", _schemas, "SELECT * FROM (VALUES ('/purchase', '', 'struct<value:double>'), ('/error', '', 'struct<value:double,props:string>')) t(name, encoding, definition)")
+
+
+def _databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, source = scratch_dir(spark, "stores"), driver_topics(spark, sf_dir)
+    for topic in ("/purchase", "/error"):
+        rows = source.frames(topic)[0].select("producer", "sequence", "log_time", "data")
+        LogStore(spark, base, f"fleet of {topic}").ingest(rows, topic, unique=True)
+    found = [(name, LogStore(spark, base, name)) for name in databases(spark, base)]
+    return union([store.tables().select(F.lit(name).alias("database"), "producer", "topic", "version") for name, store in found])
+
+
+register("list_databases", _databases, f"WITH {_EVENTS} SELECT DISTINCT 'fleet of ' || topic AS database, producer, topic, CAST(1 AS BIGINT) AS version FROM ev WHERE topic IN ('/purchase', '/error')")
+
+
+def _without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = [(0, 2**62)]
+    for left, right in _GONE:
+        ranges = without_range(ranges, left, right)
+    rows = driver_topics(spark, sf_dir).frames("/purchase")[0]
+    return union([rows.where((F.col("log_time") >= a) & (F.col("log_time") < b)).select(*ROW) for a, b in ranges])
+
+
+_GONE = [(_MIDDLE, _MIDDLE + DAY_NS), (_MIDDLE + 3 * DAY_NS, _MIDDLE + 5 * DAY_NS), (_MIDDLE + DAY_NS // 2, _MIDDLE + 2 * DAY_NS), (2**61, 2**62)]
+register("ranges_split", _without, f"WITH {_EVENTS} SELECT {_ROW} FROM ev WHERE topic = '/purchase' AND NOT (" + " OR ".join(f"log_time >= {a} AND log_time < {b}" for a, b in _GONE) + ")")
+
+
 register("masked_merge", _masked, f"WITH {_EVENTS} SELECT DISTINCT log_time, sequence FROM ev WHERE topic = '/purchase' OR topic = '/error' AND value <= 50")
 
 # message files that the query writes and imports
 _DEFINITION = "float64 value\nstring kind\nInner inner\n===\nMSG: p/Inner\nint64 user\nstring[] words\n"
 
 
-def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _written(spark: SparkSession, sf_dir: str, *topics: str) -> str:
     source, folder = driver_topics(spark, sf_dir), scratch_dir(spark, "mcap")
     data = F.struct(F.col("data.value").alias("value"), F.col("data.event_type").alias("kind"), F.struct(F.col("producer").cast("long").alias("user"), F.array("producer", F.lit("x")).alias("words")).alias("inner"))
-    mcap.write_files(source.frames("/purchase")[0].withColumn("data", data), f"{folder}/files", _DEFINITION, "p/Purchase")
+    for topic in topics:
+        mcap.write_files(source.frames(topic)[0].withColumn("data", data), f"{folder}/files{topic}", _DEFINITION, "p/Event")
+    return folder
+
+
+def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, sf_dir, "/purchase")
     store = LogStore(spark, folder)
-    mcap.import_file(store, f"{folder}/files/*.mcap", "robot")
+    mcap.import_file(store, f"{folder}/files/purchase/*.mcap", "robot")
     out = Engine(spark, store).query("from robot /purchase where /purchase.value > 5;")
     return out.select(*ROW, F.col("data_0.value").alias("value"), F.col("data_0.kind").alias("kind"), F.col("data_0.inner.user").alias("user"), F.col("data_0.inner.words")[0].alias("word"))
 
@@ -365,6 +438,35 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("mcap_import", _imported, f"WITH {_EVENTS} SELECT log_time, 'robot' AS producer, topic, sequence, value, event_type AS kind, CAST(producer AS BIGINT) AS user, producer AS word FROM ev WHERE topic = '/purchase' AND value > 5")
 
 
+def _merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of two topics, merged in time without a store."""
+    rows, topics = mcap.read(spark, f"{_written(spark, sf_dir, '/purchase', '/error')}/files/*/*.mcap"), Topics()
+    for topic in ("/purchase", "/error"):
+        topics.add(topic, mcap.decoded(rows, topic, _DEFINITION, "robot"), _DEFINITION)
+    return Engine(spark, topics).ranked("from robot /purchase, /error where /purchase.value > 50 or /error.inner.user > 3;").select(*ROW, F.col("rank").cast("long").alias("rank"))
+
+
+def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some fields of bytes, at two depths: the others aren't decoded."""
+    rows = mcap.read(spark, f"{_written(spark, sf_dir, '/purchase')}/files/*/*.mcap")
+    out = mcap.decoded(rows, "/purchase", _DEFINITION, "robot", ["value", "inner.words"])
+    return out.select("sequence", "data.value", "data.kind", "data.inner.user", F.array_join("data.inner.words", " ").alias("words"))
+
+
+_ROS2 = "int32 LIMIT=5\nfloat64 speed 1.5\nstring<=10 name \"none\"\nuint8[<=4] codes\nPoint[2] corners\n===\nMSG: shapes/msg/Point\nfloat32 x\nfloat32 y 2.0\n"
+
+
+def _ros2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = parse(_ROS2, "shapes", ros2=True)
+    leaves = [(x.name, x.kind.simpleString()) for x in flatten(spark_type(fields))]
+    return spark.createDataFrame(leaves, "field string, type string")
+
+
+register("mcap_merge", _merged_files, f"WITH {_EVENTS}, m AS (SELECT log_time, 'robot' AS producer, topic, sequence, topic = '/error' AS second FROM ev WHERE topic = '/purchase' AND value > 50 OR topic = '/error' AND CAST(producer AS BIGINT) > 3) SELECT {_ROW}, row_number() OVER (ORDER BY log_time, second, sequence) AS rank FROM m")
+register("ros1_projection", _projected, f"WITH {_EVENTS} SELECT sequence, value, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS user, producer || ' x' AS words FROM ev WHERE topic = '/purchase'")
+register("ros2_definition", _ros2, "SELECT * FROM (VALUES ('speed', 'double'), ('name', 'string'), ('codes', 'binary'), ('corners[0].x', 'float'), ('corners[0].y', 'float'), ('corners[1].x', 'float'), ('corners[1].y', 'float')) t(field, type)")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: purchases within a day after their user's last signup, in time order."""
     return engine(spark, sf_dir).query("from * /signup as s precedes /purchase as p by less than 1440 minutes where s.value > 0 or p.value > 10;").select(*ROW, F.coalesce("data_0.value", "data_1.value").alias("value"))
