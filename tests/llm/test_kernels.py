@@ -262,6 +262,27 @@ def test_exchange_never_lowers_the_likelihood_and_finds_planted_classes():
             assert likelihood(bigrams, moved) <= likelihood(bigrams, cls) + 1e-5
 
 
+def test_bigrams_in_blocks_are_the_same_as_in_one():
+    rng = np.random.default_rng(4)
+    n, k = 43, 5
+    bigrams = rng.integers(0, 4, (n, n)) * rng.integers(0, 2, (n, n))
+    bigrams[7], bigrams[:, 7] = 0, 0  # a unit without neighbours
+    bigrams[3, 3], bigrams[n - 3, n - 3] = 2, 2**40
+    pair = np.nonzero(bigrams)
+    cls = brown.exchange(*pair, bigrams[pair], n, k)
+    one = np.eye(k + 3)[cls]
+    for most in (1, 50, 10**6):
+        blocks = brown.Bigrams.of(*pair, bigrams[pair], n, most)
+        after, before = np.zeros((n, n)), np.zeros((n, n))
+        for first, own, *sides in blocks.sides():
+            for j, x in enumerate(own):
+                after[first + j, first + j] = before[first + j, first + j] = x
+                for (off, to, c), into in zip(sides, (after[first + j], before[:, first + j]), strict=True):
+                    into[to[off[j] : off[j + 1]]] += c[off[j] : off[j + 1]]
+        assert (after == bigrams).all() and (before == bigrams).all()
+        assert (brown.exchanged(blocks, k) == cls).all() and (blocks.by_class(cls, k + 3) == one.T @ bigrams @ one).all()
+
+
 def test_packed_dictionaries():
     h = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
     assert (brown._loosed_hashes(brown._pressed_hashes(h)) == h).all() and len(brown._loosed_hashes(brown._pressed_hashes(h[:0]))) == 0
