@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import column, narrowed, pieces, tune, written
+from .store import column, narrowed, pieces, releasing, tune, written
 from .textbytes import ALNUM, Block, U, covered, mix, run_sums
 
 #: Bytes of text in a block of the index; bytes of benchmark text that are matched in one pass: at most 2 million words, so about 60 MB, and
@@ -43,13 +43,23 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         part = TaskContext.get().partitionId()
         for k, b in enumerate(pieces(batches, "text", BLOCK)):
-            words = Block(column(b, "text")).words(ALNUM)
-            terms, ends, pos = postings(words.hash)
+            count, hashes = block_words(b)
+            terms, ends, pos = postings(hashes)
             gaps = np.diff(pos, prepend=np.uint32(0))
             ids = column(b, "id")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (words.count.astype("<u4"), terms, ends.astype("<u4"), gaps))], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in (count.astype("<u4"), terms, ends.astype("<u4"), gaps))], schema.names)
 
-    return written(chosen.mapInArrow(run, schema), "postings")
+    return written(chosen.mapInArrow(releasing(run), schema), "postings")
+
+
+def block_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and all words' hashes. Texts are hashed some at a time, as that takes many times their size."""
+    count, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for b in pieces([batch], "text"):
+        words = Block(column(b, "text")).words(ALNUM)
+        count.append(words.count)
+        hashes.append(words.hash)
+    return np.concatenate(count), np.concatenate(hashes)
 
 
 def postings(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         yield pa.RecordBatch.from_arrays([pa.array([f"{key}-{k}" for k in some], pa.string()), pa.array(mark, pa.binary()), pa.array([found[k] for k in some], pa.list_(pa.string()))], ["row", "mark", "items"])
 
         out = f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if n == 1 else "row string, mark binary, items array<string>"
-        parts.append(index.mapInArrow(run, out))
+        parts.append(index.mapInArrow(releasing(run), out))
     if len(parts) == 1:
         return parts[0].withColumnRenamed("id", id_col)
     every = parts[0]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import encode_texts
-from .store import column, narrowed, pieces, tune, written
+from .store import column, narrowed, pieces, releasing, tune, written
 
 #: Rows of (partition, remainder) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -136,7 +136,7 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int,
             yield pa.RecordBatch.from_arrays([column(b, "id"), pa.array(data, pa.binary()), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(rem.astype(np.int32)), pa.array(ranks, pa.int64()), pa.array(before, pa.int64())], ["id", "ids", "n", "part", "rem", "rank", "full"])
 
     chosen = narrowed(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return written(chosen.mapInArrow(run, f"id {kind}, ids binary, n long, part int, rem int, rank long, full long"), "ids")
+    return written(chosen.mapInArrow(releasing(run), f"id {kind}, ids binary, n long, part int, rem int, rank long, full long"), "ids")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, size: int = 1024) -> DataFrame:
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([column(b, "id").take(at), pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()), pa.array(cols["ids"], pa.binary()), column(b, "n").take(at), pa.array(cols["sequence"], pa.int64()), pa.array(cols["offset"], pa.int64())], ["id", "start", "length", "ids", "n", "sequence", "offset"])
 
     ready = table.join(bases, ["part", "rem"]).select("id", "ids", "n", "rem", (F.col("rank") + F.col("rank0")).alias("rank"), (F.col("full") + F.col("full0")).alias("full"))
-    return ready.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ready.mapInArrow(releasing(run), f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

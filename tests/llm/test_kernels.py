@@ -3,10 +3,14 @@
 import itertools
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -147,6 +151,47 @@ def segment(ts):
     return decontaminate.Segment(words.count.astype("<u4").tobytes(), terms.tobytes(), ends.astype("<u4").tobytes(), np.diff(pos, prepend=np.uint32(0)).tobytes())
 
 
+def test_blocks_of_the_index_are_hashed_in_bounded_memory():
+    ts = [*texts(4, ["ab ", "Cd", "é", " ", "3."], 30_000, 120), "x" * 700_000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(ts, pa.string())], ["text"])
+    want = Block.of(ts).words(ALNUM)
+    want.hash  # noqa: B018
+    tracemalloc.start()
+    count, hashes = decontaminate.block_words(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count.tolist() == want.count.tolist() and (hashes == want.hash).all()
+    assert sum(len((t or "").encode()) for t in ts) > 3_000_000 and peak < 60e6
+    empty = decontaminate.block_words(batch.slice(0, 0))
+    assert [len(x) for x in empty] == [0, 0]
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_workers_give_freed_memory_back():
+    code = """
+import re, sys
+import numpy as np
+from riverlog.llm.store import releasing
+
+def mb():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+def run(batches):
+    for b in batches:
+        many = [np.ones(12_000) for _ in range(1500)]  # 96 kB each, 144 MB; the last of all stays, so the heap's end isn't free
+        kept.append(np.ones(12_000))
+        yield b
+        del many
+
+kept = []
+at = mb()
+assert list((releasing(run) if sys.argv[1] == "releasing" else run)(iter([1, 2]))) == [1, 2]
+print(mb() - at)
+"""
+    plain, released = (int(subprocess.run([sys.executable, "-c", code, how], check=True, capture_output=True, text=True).stdout.split()[-1]) for how in ("plain", "releasing"))
+    assert plain > 100 and released < 20
+
+
 def test_phrases_and_proximity():
     rng = random.Random(4)
     pool = ["a", "b", "C", "dé", "e-f", "9"]
